@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echofold.llm import op7_warc, op8_license_scan, op10_url_filter
+from echofold.llm import op1_decontaminate, op2_packing, op5_fingerprint, op7_warc, op8_license_scan, op10_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op1_decontaminate.op1_decontaminate,
+        "op2_packing": op2_packing.op2_packing,
+        "op5_fingerprint": op5_fingerprint.op5_fingerprint,
         "op7_warc": op7_warc.op7_warc,
         "op8_license_scan": op8_license_scan.op8_license_scan,
         "op10_url_filter": op10_url_filter.op10_url_filter,
@@ -19,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontaminate": op1_decontaminate.ORACLE,
         "op7_warc": op7_warc.ORACLE,
         "op8_license_scan": op8_license_scan.ORACLE,
         "op10_url_filter": op10_url_filter.ORACLE,
