@@ -10,12 +10,11 @@ pairs by the square.  A document uses its first infrequent values instead, more
 frequent share is, as a link may spend its differences on infrequent shingles only.  *Union-sketch estimation* then drops
 pairs whose estimate is lower than ``MISS`` allows for, and the *exact* Jaccard similarity of full sets decides.
 
-Documents with too few infrequent values (families of thousands of near copies) are compared with a pivot
-of each of their frequent lists.  With D(x) the difference of x from the pivot: two documents that both
-link with it are connected already, and one that doesn't can link only with documents that share at least
-|D(x)| - (1 - s) / s |x| elements of D(x), and one at least.  So a prefix filter over the elements of D, rarest first, yields the
-rest of the pairs; lists that are still too long go round again with a pivot of their own.  No
-list is cut, and no pair is dropped unless a bound says it can't link.
+Documents with too few infrequent values (families of thousands of near copies) are compared within their first
+frequent lists: first with a pivot, the list's smallest id, which connects most of a family; then those that are
+not in the list's largest component with the whole list, in blocks of bounded size, each pair of blocks in a
+task of its own, which compares full sets by matrix products and gives out links only.  No list is cut and no pair is
+dropped unless a bound says it can't link; the work grows as a family's size times its unconnected members.
 
 Connected components: large-star and small-star steps until nothing changes.  Components, links and sketches
 stay in DataFrames; each round is written to the shared folder.
@@ -35,12 +34,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from echofold.llm.common import binomial_floor, cut, mix64, table
 
 WORDS, SIMILARITY = 5, 0.8
 K, LIST_ROWS, MISS = 64, 64, 1e-9
+#: Documents of a block of a family, and elements that its matrices hold at a time.
+BLOCK, VOCABULARY = 512, 4096
 BROADCAST_IDS = 1_000_000
 FOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,35 +135,66 @@ def candidates(reps: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
     return pairs, cut(crowded.select(F.explode(F.slice("often", 1, first)).alias("key"), "id"))
 
 
-def by_pivots(lists: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One round over (key, id) lists: links (a, b) with pivots, candidate pairs (a, b), and the lists of the next round."""
-    slack = (1 - similarity) / similarity
-    pivots = lists.groupBy("key").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "p")
-    members = lists.join(pivots, "key").filter("id <> p").select("p", "id").distinct()
-    joined = members.join(sets.select(F.col("id").alias("p"), F.col("elements").alias("pe")), "p").join(sets, "id")
-    added, gone = F.array_except("elements", "pe"), F.array_except("pe", "elements")
-    compared = joined.withColumns({"added": added, "gone": gone, "n": F.size("elements"), "np": F.size("pe")}).drop("elements", "pe")
-    common = F.col("n") - F.size("added")
-    linked = 100 * common >= round(100 * similarity) * (F.col("np") + F.size("added"))
-    compared = cut(compared.select("p", "id", "n", F.concat("added", "gone").alias("d"), linked.alias("linked")))
-    links = compared.filter("linked").select(F.col("p").alias("a"), F.col("id").alias("b"))
-
-    # Only what an unlinked member's difference holds can make a pair.
-    size = F.size("d")
-    least = F.greatest(F.ceil(size - slack * F.col("n") - 1e-6), F.lit(1))
-    elements = compared.select("p", "id", "n", F.col("linked"), (size - least + 1).alias("keep"), F.explode("d").alias("e"))
-    often = elements.groupBy("p", "e").agg(F.count(F.lit(1)).alias("c"), F.max(~F.col("linked")).alias("open")).filter("open and c > 1")
-    ranked = elements.join(often.select("p", "e", "c"), ["p", "e"], "left").withColumn("c", F.coalesce("c", F.lit(1)))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("p", "id").orderBy("c", "e")))
-    # elements that no unlinked member holds, or one member only, come first where they are rare: they use up the prefix
-    prefix = cut(ranked.filter("rank <= keep").select("p", "e", "id", "n", "linked"))
-    sized = prefix.groupBy("p", "e").agg(F.count(F.lit(1)).alias("c"), F.max(~F.col("linked")).alias("open")).filter("open and c > 1")
-    short = prefix.join(sized.filter(F.col("c") <= LIST_ROWS).select("p", "e"), ["p", "e"])
-    left, right = (short.select("p", "e", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("linked").alias(f"l{x}")) for x in "ab")
-    met = left.join(right, ["p", "e"]).filter((F.col("a") < F.col("b")) & ~(F.col("la") & F.col("lb")) & _like_sizes(F.col("na"), F.col("nb"), similarity))
-    pairs = met.select("a", "b").distinct()
-    long = prefix.join(sized.filter(F.col("c") > LIST_ROWS).select("p", "e"), ["p", "e"]).select(F.xxhash64("p", "e").alias("key"), "id").distinct()
-    return links, cut(pairs), cut(long)
+def pivot_links(lists: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of the members of (key, id) lists with their list's smallest id."""
+    pivots = lists.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "a")
+    return verified(lists.join(pivots, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), sets, similarity)
+
+
+def compare_block(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sorted sets, by products of incidence matrices, some thousand elements at a time."""
+    flat = [np.concatenate(v) for v in (x, y)]
+    owner = [np.repeat(np.arange(len(v)), [len(e) for e in v]) for v in (x, y)]
+    common = np.intersect1d(*flat)
+    out = np.zeros((len(x), len(y)), np.float32)
+    place = [np.searchsorted(common, f) for f in flat]
+    for k in range(2):
+        there = (place[k] < len(common)) & (common[np.minimum(place[k], max(0, len(common) - 1))] == flat[k]) if len(common) else np.zeros(len(flat[k]), bool)
+        place[k], owner[k] = place[k][there], owner[k][there]
+        order = np.argsort(place[k], kind="stable")
+        place[k], owner[k] = place[k][order], owner[k][order]
+    for start in range(0, len(common), VOCABULARY):
+        parts = []
+        for k, v in enumerate((x, y)):
+            lo, hi = np.searchsorted(place[k], (start, start + VOCABULARY))
+            m = np.zeros((len(v), min(VOCABULARY, len(common) - start)), np.float32)
+            m[owner[k][lo:hi], place[k][lo:hi] - start] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def family_links(lists: DataFrame, sets: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components in (key, id) lists, one for each document and component at least.
+
+    Of each list the component with most members is left out on one side, as its members needn't be compared with each other.
+    The others are compared with the whole list in blocks of ``BLOCK`` documents, each pair of blocks in a task of
+    its own; only links leave it.
+    """
+    marked = lists.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    marked = cut(marked)
+    most = marked.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", F.col("c").alias("major"))).alias("m"), F.sum("n").alias("all"))
+    most = most.withColumn("open", F.col("all") - F.col("m.n")).filter("open > 0").select("key", "m.major", F.ceil(F.col("open") / BLOCK).cast("int").alias("nx"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ny"))
+    rows = marked.join(most, "key")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    xs = rows.filter("c <> major").select("key", own("nx").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("j"), F.lit(True).alias("x"), "id", "c")
+    ys = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("i"), own("ny").alias("j"), F.lit(False).alias("x"), "id", "c")
+    blocks = xs.unionAll(ys).join(sets, "id")
+
+    def links(pdf):
+        import pandas as pd
+
+        x, y = pdf[pdf["x"]], pdf[~pdf["x"]]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        common = compare_block(list(x["elements"]), list(y["elements"]))
+        nx, ny = (np.array([len(e) for e in v["elements"]]) for v in (x, y))
+        linked = 100 * common >= round(100 * similarity) * (nx[:, None] + ny[None, :] - common)
+        at, to = np.nonzero(linked & (x["c"].to_numpy()[:, None] != y["c"].to_numpy()[None, :]))
+        out = pd.DataFrame({"a": x["id"].to_numpy()[at], "b": y["id"].to_numpy()[to], "c": y["c"].to_numpy()[to]})
+        return out.drop_duplicates(["a", "c"])[["a", "b"]]
+
+    return blocks.groupBy("key", "i", "j").applyInPandas(links, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -204,14 +235,11 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR
     pairs, lists = candidates(reps, similarity)
     ids = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).unionAll(lists.select("id")).distinct())
     sets = cut(full_sets(docs, ids, n).dropDuplicates(["id", "elements"]))
-    links = []
-    while lists.limit(1).count():
-        own, more, lists = by_pivots(lists, sets, similarity)
-        links.append(own)
-        pairs = pairs.unionAll(more)
-    edges = verified(pairs.distinct() if links else pairs, sets, similarity)
-    for x in links:
-        edges = edges.unionAll(x)
+    edges = verified(pairs, sets, similarity)
+    if lists.limit(1).count():
+        edges = cut(edges.unionAll(pivot_links(lists, sets, similarity)))
+        found = components(edges)
+        edges = edges.unionAll(family_links(lists, sets, found, similarity))
     found = components(edges)
     of_class = classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = all_.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
