@@ -230,7 +230,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limi
         if i:
             df = cut(df)
         df = df.mapInArrow(_matcher(held, window, i > 0), T.StructType([*(f for f in df.schema if f.name not in ("__words", "__items")), T.StructField("__words", WORD_SPANS), T.StructField("__items", T.ArrayType(T.StringType()))]))
-    plain = [f for f in df.schema if not f.name.startswith("__")]
+    plain = [f for f in df.schema if f.name not in ("__words", "__items")]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
