@@ -104,11 +104,10 @@ def model_table(top: DataFrame) -> tuple[DataFrame, float]:
     Kind ``p`` has the log-probability of an n-gram's last character after the others; kind ``b`` the log of the weight that a
     context leaves to the shorter n-gram.
     """
-    by_order = {ORDER: top.withColumnRenamed("n", "a")}
+    by_order = {ORDER: cut(top.withColumnRenamed("n", "a"))}
     for size in range(ORDER - 1, 0, -1):
         shorter = F.col("code").bitwiseAND(F.lit((1 << BITS * size) - 1))
-        by_order[size] = by_order[size + 1].groupBy(shorter.alias("code")).agg(F.count(F.lit(1)).alias("a"))
-    by_order = {k: cut(v) for k, v in by_order.items()}
+        by_order[size] = cut(by_order[size + 1].groupBy(shorter.alias("code")).agg(F.count(F.lit(1)).alias("a")))
     types = by_order[1].count()
     parts, below, unknown = [], None, 0.0
     for size in range(1, ORDER + 1):
@@ -223,8 +222,9 @@ def perplexity_sums(docs: DataFrame, model: DataFrame, unknown: float, limit: in
     for i, group in enumerate(groups):
         own = marked if group is None else marked.filter(F.col("pivot").isin([-1, *sorted(group)]))
         arrays = {}
-        for (kind, size), part in own.select("kind", "size", "code", "value").toPandas().groupby(["kind", "size"]):
-            arrays[kind, int(size)] = (part["code"].to_numpy(np.int64), part["value"].to_numpy(np.float32))
+        for kind, size in [("p", x) for x in range(1, ORDER + 1)] + [("b", x) for x in range(1, ORDER)]:
+            part = own.filter((F.col("kind") == kind) & (F.col("size") == size)).select("code", F.col("value").cast("float")).toArrow()
+            arrays[kind, size] = (part["code"].to_numpy(), part["value"].to_numpy())
         held = docs.sparkSession.sparkContext.broadcast((arrays, unknown, group))
         if i:
             df = cut(df)
