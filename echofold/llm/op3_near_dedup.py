@@ -11,9 +11,9 @@ frequent share is, as a link may spend its differences on infrequent shingles on
 pairs whose estimate is lower than ``MISS`` allows for, and the *exact* Jaccard similarity of full sets decides.
 
 Documents with too few infrequent values (families of thousands of near copies) are compared within their first
-frequent lists: first with a pivot, the list's smallest id, which connects most of a family; then those that are
-not in the list's largest component with the whole list, in blocks of bounded size, each pair of blocks in a
-task of its own, which compares full sets by matrix products and gives out links only.  No list is cut and no pair is
+frequent lists, which are merged where their smallest id, the pivot, is the same: first with the pivot, which connects most
+of a family; then those that are not in the family's largest component with the whole family, in blocks of bounded size, each pair of blocks in a
+task of its own, which compares full sets by matrix products and gives out links only.  No list is cut, and no pair is
 dropped unless a bound says it can't link; the work grows as a family's size times its unconnected members.
 
 Connected components: large-star and small-star steps until nothing changes.  Components, links and sketches
@@ -135,10 +135,15 @@ def candidates(reps: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
     return pairs, cut(crowded.select(F.explode(F.slice("often", 1, first)).alias("key"), "id"))
 
 
+def families(lists: DataFrame) -> DataFrame:
+    """(key, id) lists merged by their smallest ids, which become the keys: the lists of one family hold much the same documents."""
+    pivots = lists.groupBy("key").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "p")
+    return lists.join(pivots, "key").select(F.col("p").alias("key"), "id").distinct()
+
+
 def pivot_links(lists: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of the members of (key, id) lists with their list's smallest id."""
-    pivots = lists.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "a")
-    return verified(lists.join(pivots, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), sets, similarity)
+    """Links (a, b) of the members of families with the smallest id."""
+    return verified(lists.filter("id <> key").select(F.col("key").alias("a"), F.col("id").alias("b")), sets, similarity)
 
 
 def compare_block(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -236,6 +241,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR
     ids = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).unionAll(lists.select("id")).distinct())
     sets = cut(full_sets(docs, ids, n).dropDuplicates(["id", "elements"]))
     edges = verified(pairs, sets, similarity)
+    lists = cut(families(lists))
     if lists.limit(1).count():
         edges = cut(edges.unionAll(pivot_links(lists, sets, similarity)))
         found = components(edges)
