@@ -107,7 +107,7 @@ def identify_stream(chunks: DataFrame, index: LocalIndex, feedback: bool = True,
 def replay_windows(chunks: DataFrame, rate: int = RATE, low: int = C.STREAM_MIN_SECONDS, high: int = C.STREAM_MAX_SECONDS) -> DataFrame:
     """(stream_id, window_no, start, end) of (stream_id, seq, size): the schedule of a stream without feedback, in batch."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = kernels.stream_windows(pdf.sort_values("seq")["size"].tolist(), rate, low, high)
         return pd.DataFrame([(key[0], i, a, b) for i, (a, b) in enumerate(found)], columns=["stream_id", "window_no", "start", "end"])
 
