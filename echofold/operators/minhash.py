@@ -46,6 +46,21 @@ def shingle_bits(docs: DataFrame, id_col: str, text_col: str, n_bits: int, n_wor
     return shingles.select("series_id", bit.alias("bit")).distinct()
 
 
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` rows in a row, by doubling."""
+    have = 1
+    while 2 * have <= width:
+        x, have = np.minimum(x[: len(x) - have], x[have:]), 2 * have
+    rest = width - have
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores, dealt to all of them; larger ones as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def window_signatures(docs: DataFrame, id_col: str, text_col: str, n_bits: int = 512, n_words: int = 3, width: int = 16, hop: int = 2) -> DataFrame:
     """(entry_id, sig_idx, window_no, minhash): a signature for each window over a text's shingles.
 
@@ -54,7 +69,7 @@ def window_signatures(docs: DataFrame, id_col: str, text_col: str, n_bits: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = C.rank_table(n_bits)
+        ranks = C.rank_table(n_bits).astype(np.uint8)
         for b in batches:
             out: list[list] = [[], [], [], []]
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -62,7 +77,7 @@ def window_signatures(docs: DataFrame, id_col: str, text_col: str, n_bits: int =
                 bits = np.array([int(hashlib.md5(" ".join(w[k : k + n_words]).encode()).hexdigest()[:8], 16) % n_bits for k in range(len(w) - n_words + 1)], np.int64)
                 if len(bits) < width:
                     continue
-                x = np.lib.stride_tricks.sliding_window_view(ranks[bits], width, axis=0)[::hop].min(-1).astype(np.uint8)
+                x = sliding_min(ranks[bits], width)[::hop]
                 kept = np.flatnonzero((x != C.NO_BIT).any(1))
                 out[0] += [i] * len(kept)
                 out[1] += range(len(kept))
@@ -70,4 +85,4 @@ def window_signatures(docs: DataFrame, id_col: str, text_col: str, n_bits: int =
                 out[3] += [row.tobytes() for row in x[kept]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["entry_id", "sig_idx", "window_no", "minhash"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "entry_id long, sig_idx int, window_no int, minhash binary")
+    return spread_small(docs.select(F.col(id_col).cast("long"), text_col)).mapInArrow(run, "entry_id long, sig_idx int, window_no int, minhash binary")

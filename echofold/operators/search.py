@@ -13,6 +13,8 @@ from echofold.functions import constants as C
 from echofold.operators.minhash import band_table
 
 PAIR = ["query_id", "query_sig", "entry_id", "sig_idx"]
+#: Query signatures that are broadcast at most: 25 bands of about 150 bytes each, 75 MB.
+BROADCAST_QUERIES = 20_000
 
 
 def candidates(queries: DataFrame, index: DataFrame, min_bands: int = C.MIN_BANDS, n_bands: int = C.N_BANDS, buckets: int | None = None, drop_last: bool = False) -> DataFrame:
@@ -37,6 +39,21 @@ def pair_scores(pairs: DataFrame, queries: DataFrame, index: DataFrame, min_scor
     return both.withColumn("score", X.equal_bytes(F.col("qh"), F.col("eh"))).filter(F.col("score") >= min_score).select(*PAIR, "n_bands", "score")
 
 
+def scored_pairs(queries: DataFrame, index: DataFrame, limit: int = BROADCAST_QUERIES) -> DataFrame:
+    """Pairs with enough bands and equal bytes, as ``pair_scores`` gives them.
+
+    Up to ``limit`` query signatures are broadcast (about 150 bytes for each band), so that the index is read once and
+    not shuffled, and candidates carry both signatures.  Beyond that both sides are shuffled by band.
+    """
+    if queries.count() > limit:
+        return pair_scores(candidates(queries, index), queries, index)
+    left = F.broadcast(band_table(queries.select("query_id", "query_sig", F.col("minhash").alias("qh"), "minhash")).drop("minhash"))
+    right = band_table(index.select("entry_id", "sig_idx", "minhash"))
+    pairs = right.join(left, ["band_no", "band_key"]).groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_bands"), F.first("qh").alias("qh"), F.first("minhash").alias("eh"))
+    both = pairs.filter(F.col("n_bands") >= C.MIN_BANDS).withColumn("score", X.equal_bytes(F.col("qh"), F.col("eh")))
+    return both.filter(F.col("score") >= C.MIN_SCORE).select(*PAIR, "n_bands", "score")
+
+
 def entry_scores(scored: DataFrame) -> DataFrame:
     """(query_id, entry_id, score_sum, n_matches, average)."""
     out = scored.groupBy("query_id", "entry_id").agg(F.sum("score").cast("long").alias("score_sum"), F.count(F.lit(1)).alias("n_matches"))
@@ -81,20 +98,18 @@ def search(queries: DataFrame, index: DataFrame, compat: bool = False) -> DataFr
     ``compat`` keeps two quirks of chained hash tables: keys modulo half the number of signatures, and the last candidate of each
     query signature unscored.
     """
-    options: dict = {}
-    if compat:
-        n = index.count() // 2
-        if n == 0:
-            index = index.limit(0)
-        options = {"buckets": max(1, n), "drop_last": True}
-    pairs = candidates(queries, index, **options)
+    if not compat:
+        return best_match(rank_entries(entry_scores(scored_pairs(queries, index))))
+    n = index.count() // 2
+    if n == 0:
+        index = index.limit(0)
+    pairs = candidates(queries, index, buckets=max(1, n), drop_last=True)
     return best_match(rank_entries(entry_scores(pair_scores(pairs, queries, index))))
 
 
 def explain_search(queries: DataFrame, index: DataFrame) -> DataFrame:
     """The ranked entries behind each answer, qualified or not."""
-    pairs = candidates(queries, index)
-    return rank_entries(entry_scores(pair_scores(pairs, queries, index))).withColumn("qualified", qualifies())
+    return rank_entries(entry_scores(scored_pairs(queries, index))).withColumn("qualified", qualifies())
 
 
 def report(best: DataFrame, entries: DataFrame) -> DataFrame:

@@ -168,9 +168,8 @@ def _queries(spark, d):
     return own.select(F.col("entry_id").alias("query_id"), F.col("sig_idx").alias("query_sig"), "minhash")
 
 
-def _scored(spark, d, **options):
-    q, x = _queries(spark, d), _index(spark, d)
-    return S.pair_scores(S.candidates(q, x, **options), q, x)
+def _scored(spark, d):
+    return S.scored_pairs(_queries(spark, d), _index(spark, d))
 
 
 def passage_pairs(spark, d):
