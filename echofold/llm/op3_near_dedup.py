@@ -12,9 +12,9 @@ pairs whose estimate is lower than ``MISS`` allows for, and the *exact* Jaccard
 
 Documents with too few infrequent values (families of thousands of near copies) are compared within their first
 frequent lists, which are merged where their smallest id, the pivot, is the same: first with the pivot, which connects most
-of a family; then those that are not in the family's largest component with the whole family, in blocks of bounded size, each pair of blocks in a
+of a family; then those without a link to it with the whole family, in blocks of bounded size, each pair of blocks in a
 task of its own, which compares full sets by matrix products and gives out links only.  No list is cut, and no pair is
-dropped unless a bound says it can't link; the work grows as a family's size times its unconnected members.
+dropped unless a bound says it can't link; the work grows as a family's size times its members without a link to the pivot.
 
 Connected components: large-star and small-star steps until nothing changes.  Components, links and sketches
 stay in DataFrames; each round is written to the shared folder.
@@ -169,17 +169,19 @@ def compare_block(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def family_links(lists: DataFrame, sets: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between components in (key, id) lists, one for each document and component at least.
+def family_links(lists: DataFrame, sets: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of families that the pivot doesn't connect, one for each document and other end at least.
 
-    Of each list the component with most members is left out on one side, as its members needn't be compared with each other.
-    The others are compared with the whole list in blocks of ``BLOCK`` documents, each pair of blocks in a task of
+    ``own`` are the links with pivots: documents that have one needn't be compared with each other.  The
+    others are compared with the whole family in blocks of ``BLOCK`` documents, each pair of blocks in a task of
     its own; only links leave it.
     """
-    marked = lists.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    marked = cut(marked)
-    most = marked.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", F.col("c").alias("major"))).alias("m"), F.sum("n").alias("all"))
-    most = most.withColumn("open", F.col("all") - F.col("m.n")).filter("open > 0").select("key", "m.major", F.ceil(F.col("open") / BLOCK).cast("int").alias("nx"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ny"))
+    linked = own.select(F.col("a").alias("key"), F.col("b").alias("id"), F.lit(True).alias("linked"))
+    marked = lists.join(linked, ["key", "id"], "left")
+    # c: what a document is connected to already
+    marked = cut(marked.select("key", "id", F.when(F.col("linked") | (F.col("id") == F.col("key")), F.col("key")).otherwise(F.col("id")).alias("c")))
+    most = marked.groupBy("key").agg(F.count_if(F.col("c") != F.col("key")).alias("open"), F.count(F.lit(1)).alias("all")).filter("open > 0")
+    most = most.select("key", F.col("key").alias("major"), F.ceil(F.col("open") / BLOCK).cast("int").alias("nx"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ny"))
     rows = marked.join(most, "key")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     xs = rows.filter("c <> major").select("key", own("nx").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("j"), F.lit(True).alias("x"), "id", "c")
@@ -243,9 +245,8 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR
     edges = verified(pairs, sets, similarity)
     lists = cut(families(lists))
     if lists.limit(1).count():
-        edges = cut(edges.unionAll(pivot_links(lists, sets, similarity)))
-        found = components(edges)
-        edges = edges.unionAll(family_links(lists, sets, found, similarity))
+        own = cut(pivot_links(lists, sets, similarity))
+        edges = edges.unionAll(own).unionAll(family_links(lists, sets, own, similarity))
     found = components(edges)
     of_class = classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = all_.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
