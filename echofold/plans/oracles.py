@@ -123,6 +123,10 @@ def _oracles() -> dict[str, str]:
         "metadata_parse": "SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS artist, regexp_extract(url, '://[^/]*(/[^?#]*)', 1) AS title, regexp_extract(url, '\\?(.*)$', 1) AS album FROM pages",
         "stream_dedup": "SELECT stream_id, window_no, entry_id FROM (SELECT *, lag(entry_id) OVER (PARTITION BY stream_id ORDER BY window_no) AS before FROM (SELECT * FROM (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS window_no, CASE WHEN event_type <> 'purchase' THEN event_type END AS entry_id FROM events) WHERE entry_id IS NOT NULL)) WHERE before IS NULL OR before <> entry_id",
     }
+    # rounding can give -0.0, which is made 0.0 as in the queries
+    for column, names in (("y", "rms_normalize fir_decimate hann_window"), ("value", "frame_slices image_slices"), ("power", "dft_power"), ("mean_power", "log_bins"), ("scaled", "image_scale"), ("coeff", "haar_1d haar_2d topk_wavelets")):
+        for n in names.split():
+            out[n] = f"SELECT * REPLACE ({column} + 0.0 AS {column}) FROM ({out[n]})"
     return out
 
 
