@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from echofold.llm.common import cut, table
 
 MAX_LEN, N_BUCKETS, TOKEN_BUDGET = 2048, 8, 32768
-SHARD_ROWS, MAX_SHARDS = 100_000, 8192
+SHARD_ROWS, MAX_SHARDS = 2000, 8192
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -63,9 +63,8 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) ->
     size, c = lengths.astype(object if counts.sum() > 1 << 50 else np.int64), counts.astype(object if counts.sum() > 1 << 50 else np.int64)
     many = np.concatenate(([0], np.cumsum(c)))
     total = np.concatenate(([0], np.cumsum(c * size)))
-    first = lambda i, j: size[j - 1] * (many[j] - many[i]) - (total[j] - total[i])
-    cost = [first(0, j) for j in range(n + 1)] if n else []
-    cost = np.array([0, *[first(0, j) for j in range(1, n + 1)]], dtype=size.dtype)
+    # cost[j]: the least padding of the first j lengths with the buckets allowed so far
+    cost = np.array([0, *(size[j - 1] * many[j] - total[j] for j in range(1, n + 1))], dtype=size.dtype)
     back = []
     for _ in range(1, min(n_buckets, n)):
         new, at = cost.copy(), np.zeros(n + 1, int)
@@ -111,8 +110,7 @@ def pack(counts: DataFrame, id_col: str = "doc_id", max_len: int = MAX_LEN, n_bu
     bucket = F.lit(0).cast("long")
     for b in reversed(boundaries):
         bucket = F.when(F.col("n_tokens") <= b, F.lit(b).cast("long")).otherwise(bucket)
-    shards = min(MAX_SHARDS, max(1, math.ceil(int(many.sum()) / SHARD_ROWS)), 1 << 20) if found else 1
-    shards = max(shards, min(MAX_SHARDS, int(many.sum()) // 2000)) if found else 1
+    shards = min(MAX_SHARDS, max(1, math.ceil(int(many.sum()) / SHARD_ROWS)))
     placed = pieces.withColumns({"bucket_len": F.when(F.col("n_tokens") > 0, bucket).otherwise(F.lit(0).cast("long")), "__shard": F.pmod(F.xxhash64("__row", "piece"), F.lit(shards)).cast("int")})
     sums = placed.groupBy("bucket_len", "__shard").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("bucket_len").orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)

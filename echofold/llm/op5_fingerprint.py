@@ -127,7 +127,7 @@ def dealt_with_next(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("__key"))
     n = keyed.count()
     ranges = min(MAX_RANGES, max(1, math.ceil(n / ROWS_PER_RANGE)))
-    cuts = [0] * 0
+    cuts: list[int] = []
     if ranges > 1:
         probs = ",".join(str(i / ranges) for i in range(1, ranges))
         cuts = sorted(set(keyed.agg(F.expr(f"percentile_approx(__key, array({probs}), {min(100_000, 20 * ranges)})")).first()[0]))

@@ -22,7 +22,6 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
