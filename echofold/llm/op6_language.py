@@ -86,9 +86,6 @@ def train(sample: list[tuple[str, str]]) -> Model | None:
     top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: CLASSES - RARE - 1]
     letters = {ord(c): 1 + RARE + i for i, (c, _) in enumerate(top)}
     classes = class_table(letters)
-    flags = np.zeros((len(sample), DIMENSIONS), np.uint8)
-    for row, (t, _) in zip(flags, sample, strict=True):
-        presence(class_codes(t, classes), row)
     by_class: dict[str, list[int]] = {y: [] for y in languages}
     for i, (_, y) in enumerate(sample):
         by_class[y].append(i)
@@ -100,9 +97,16 @@ def train(sample: list[tuple[str, str]]) -> Model | None:
                 queues.remove(q)
             elif len(marks) < LANDMARKS:
                 marks.append(i)
-    norm = np.sqrt(flags.sum(1, dtype=np.int64)).astype(np.float64)
-    vocabulary = np.flatnonzero(flags[marks].any(0))
-    own = flags[:, vocabulary].astype(np.float32)
+    # one text's n-grams at a time: all of them together would take a row of DIMENSIONS bytes each
+    flags = np.zeros(DIMENSIONS, np.uint8)
+    for i in marks:
+        presence(class_codes(sample[i][0], classes), flags)
+    vocabulary = np.flatnonzero(flags)
+    own, norm = np.zeros((len(sample), len(vocabulary)), np.float32), np.zeros(len(sample))
+    for i, (t, _) in enumerate(sample):
+        flags[:] = 0
+        presence(class_codes(t, classes), flags)
+        own[i], norm[i] = flags[vocabulary], np.sqrt(np.count_nonzero(flags))
     land = own[marks] / norm[marks, None].astype(np.float32)
     k = (own @ land.T).astype(np.float64) / norm[:, None]
     values, vectors = np.linalg.eigh(k[marks])
