@@ -42,6 +42,8 @@ K, LIST_ROWS, MISS = 64, 64, 1e-9
 #: Documents of a block of a family, and elements that its matrices hold at a time.
 BLOCK, VOCABULARY = 512, 4096
 BROADCAST_IDS = 1_000_000
+#: Keys with more than one in ``HOT`` rows are joined where their rows are; a family's members meet its pivot in parts of this size.
+HOT, FAMILY_PART = 1000, 1024
 FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,15 +137,34 @@ def candidates(reps: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
     return pairs, cut(crowded.select(F.explode(F.slice("often", 1, first)).alias("key"), "id"))
 
 
+def by_key(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` joined with ``keys`` (key, c: its number of rows, others) by key.
+
+    Keys with more than one in ``HOT`` of all rows are fewer than ``HOT``, so they are broadcast and their rows stay where they
+    are; the others shuffle.
+    """
+    keys = cut(keys)
+    total = keys.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    hot, cold = keys.filter(F.col("c") * HOT > total).drop("c"), keys.filter(F.col("c") * HOT <= total).drop("c")
+    rest = rows.join(F.broadcast(hot.select("key")), "key", "left_anti")
+    return rows.join(F.broadcast(hot), "key").unionByName(rest.join(cold, "key"))
+
+
 def families(lists: DataFrame) -> DataFrame:
     """(key, id) lists merged by their smallest ids, which become the keys: the lists of one family hold much the same documents."""
-    pivots = lists.groupBy("key").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "p")
-    return lists.join(pivots, "key").select(F.col("p").alias("key"), "id").distinct()
+    pivots = lists.groupBy("key").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    return by_key(lists, pivots).select(F.col("p").alias("key"), "id").distinct()
 
 
 def pivot_links(lists: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of the members of families with the smallest id."""
-    return verified(lists.filter("id <> key").select(F.col("key").alias("a"), F.col("id").alias("b")), sets, similarity)
+    """Links (a, b) of the members of families with the smallest id, whose set has a copy for each part of a large family."""
+    parts = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    parts = parts.select("key", "c", F.ceil(F.col("c") / FAMILY_PART).cast("int").alias("parts"))
+    pairs = by_key(lists, parts).filter("id <> key").select(F.col("key").alias("a"), F.col("id").alias("b"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+    copies = parts.select(F.col("key").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    firsts = copies.join(sets, "id").select(F.col("id").alias("a"), "part", F.col("elements").alias("ea"))
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b").join(firsts, ["a", "part"])
+    return alike(both, similarity)
 
 
 def compare_block(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -181,8 +202,8 @@ def family_links(lists: DataFrame, sets: DataFrame, own: DataFrame, similarity:
     # c: what a document is connected to already
     marked = cut(marked.select("key", "id", F.when(F.col("linked") | (F.col("id") == F.col("key")), F.col("key")).otherwise(F.col("id")).alias("c")))
     most = marked.groupBy("key").agg(F.count_if(F.col("c") != F.col("key")).alias("open"), F.count(F.lit(1)).alias("all")).filter("open > 0")
-    most = most.select("key", F.col("key").alias("major"), F.ceil(F.col("open") / BLOCK).cast("int").alias("nx"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ny"))
-    rows = marked.join(most, "key")
+    most = most.select("key", F.col("key").alias("major"), F.ceil(F.col("open") / BLOCK).cast("int").alias("nx"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ny"), F.col("all").alias("c"))
+    rows = by_key(marked, most)
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     xs = rows.filter("c <> major").select("key", own("nx").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("j"), F.lit(True).alias("x"), "id", "c")
     ys = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("i"), own("ny").alias("j"), F.lit(False).alias("x"), "id", "c")
@@ -207,6 +228,11 @@ def family_links(lists: DataFrame, sets: DataFrame, own: DataFrame, similarity:
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose full sets have the similarity."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b")
+    return alike(both, similarity)
+
+
+def alike(both: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ``both`` whose sets ``ea`` and ``eb`` have the similarity."""
     common = F.size(F.array_intersect("ea", "eb"))
     both = both.select("a", "b", common.alias("c"), (F.size("ea") + F.size("eb")).alias("total"))
     return both.filter(100 * F.col("c") >= round(100 * similarity) * (F.col("total") - F.col("c"))).select("a", "b")

@@ -100,10 +100,12 @@ def corpus(seed, n=260):
     return [*rows, (20_001, None), (20_002, "")]
 
 
-@pytest.mark.parametrize("seed, list_rows, block", [(1, 64, 512), (2, 4, 16), (3, 20, 7), (4, 2, 512)])
-def test_components_against_brute_force(spark, monkeypatch, seed, list_rows, block):
+@pytest.mark.parametrize("seed, list_rows, block, hot, part", [(1, 64, 512, 1000, 1024), (2, 4, 16, 1000, 5), (3, 20, 7, 3, 1), (4, 2, 512, 1, 1024)])
+def test_components_against_brute_force(spark, monkeypatch, seed, list_rows, block, hot, part):
     monkeypatch.setattr(op3_near_dedup, "LIST_ROWS", list_rows)
     monkeypatch.setattr(op3_near_dedup, "BLOCK", block)
+    monkeypatch.setattr(op3_near_dedup, "HOT", hot)
+    monkeypatch.setattr(op3_near_dedup, "FAMILY_PART", part)
     rows = corpus(seed)
     got = {r["doc_id"]: r for r in op3_near_dedup.near_duplicates(docs(spark, rows), n=4).collect()}
     want = brute_components(rows, 4)
