@@ -208,16 +208,22 @@ def learn_entries(toxic: list[str], other: list[str]) -> list[tuple[str, bool, b
     def features(word: str) -> list[str]:
         return [word + " ", *(word[:n] for n in PREFIXES if n <= len(word))]
 
-    bags = [[_counted(parts.findall(t.lower())) for t in texts] for texts in (toxic, other)]
-    holds: dict[str, set[int]] = defaultdict(set)
-    for i, (bag, _) in enumerate(bags[0]):
+    # one text's words at a time: all of them together would take many times the texts' size
+    bags = lambda texts: (_counted(parts.findall(t.lower())) for t in texts)
+    held: dict[str, int] = defaultdict(int)
+    for bag, _ in bags(toxic):
+        for f in {f for w in bag for f in features(w)}:
+            held[f] += 1
+    holds: dict[str, set[int]] = {f: set() for f, n in held.items() if n >= MIN_DOCS}
+    del held
+    for i, (bag, _) in enumerate(bags(toxic)):
         for w in bag:
             for f in features(w):
-                holds[f].add(i)
-    holds = {f: v for f, v in holds.items() if len(v) >= MIN_DOCS}
+                if f in holds:
+                    holds[f].add(i)
     docs, often, words_with = [defaultdict(int), defaultdict(int)], [defaultdict(int), defaultdict(int)], [defaultdict(int), defaultdict(int)]
-    for y, part in enumerate((bags[1], bags[0])):
-        for bag, n in part:
+    for y, texts in enumerate((other, toxic)):
+        for bag, n in bags(texts):
             inside: dict[str, int] = defaultdict(int)
             for w, k in bag.items():
                 for f in features(w):
