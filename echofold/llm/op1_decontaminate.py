@@ -207,6 +207,8 @@ def char_spans(text: bytes, spans: list[tuple[int, int]]) -> list[dict[str, int]
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 WORD_SPANS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 RESULT = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("item_ids", T.ArrayType(T.StringType())), ("spans", T.ArrayType(SPAN))]
+#: What passes between blocks.
+BETWEEN = [("__words", WORD_SPANS), ("__items", T.ArrayType(T.StringType()))]
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
@@ -223,51 +225,45 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tupl
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit, item_ids (sorted) and spans (in code points) of its column text."""
-    spark = docs.sparkSession
     df = docs.drop(*(n for n, _ in RESULT))
-    for i, block in enumerate(blocks(benchmark, limit)):
-        held = spark.sparkContext.broadcast(block)
-        if i:
-            df = cut(df)
-        df = df.mapInArrow(_matcher(held, window, i > 0), T.StructType([*(f for f in df.schema if f.name not in ("__words", "__items")), T.StructField("__words", WORD_SPANS), T.StructField("__items", T.ArrayType(T.StringType()))]))
-    plain = [f for f in df.schema if f.name not in ("__words", "__items")]
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-        for b in batches:
-            get = lambda name: b.column(b.schema.get_field_index(name))  # noqa: B023, E731
-            raw = get("text").cast(pa.binary())
-            out: list[list] = [[], [], [], []]
-            for text, hit, items in zip(raw, get("__words").to_pylist(), get("__items").to_pylist(), strict=True):
-                t = text.as_py() or b""
-                spans = [(x["a"], x["b"]) for x in hit]
-                for col, v in zip(out, (len(words(t)), sum(y - x for x, y in spans), items, char_spans(t, spans) if spans else []), strict=True):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([*(get(f.name) for f in plain), *map(pa.array, out, kinds)], names=[*(f.name for f in plain), *(n for n, _ in RESULT)])
-
-    schema = T.StructType(list(plain))
-    for n, kind in RESULT:
-        schema = schema.add(n, kind)
-    return df.mapInArrow(finish, schema)
-
-
-def _matcher(held, window: int, again: bool):
+    plain = list(df.schema)
+    todo, again = blocks(benchmark, limit), False
+    block = next(todo)
+    while block is not None:
+        held, block = docs.sparkSession.sparkContext.broadcast(block), next(todo, None)
+        added = [T.StructField(n, kind) for n, kind in (RESULT if block is None else BETWEEN)]
+        df = (cut(df) if again else df).mapInArrow(_matcher(held, window, again, block is None), T.StructType([*plain, *added]))
+        again = True
+    return df
+
+
+def _matcher(held, window: int, again: bool, last: bool):
+    """Adds a block's hits to those of the blocks before it; the last block's pass gives the result's columns."""
+    pair, place = (pa.list_(pa.struct([(n, pa.int64()) for n in names])) for names in (("a", "b"), ("start", "end")))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(held.value, window)
-        kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
         for b in batches:
             get = lambda name: b.column(b.schema.get_field_index(name))  # noqa: B023, E731
-            raw = get("text").cast(pa.binary())
             old = zip(get("__words").to_pylist(), get("__items").to_pylist(), strict=True) if again else repeat(((), ()))
-            spans, items = [], []
-            for text, (had, had_items) in zip(raw, old, strict=False):
-                hit, found = index.match(words(text.as_py() or b""))
+            sizes, hits, items, places = [], [], [], []
+            for text, (had, had_items) in zip(get("text").cast(pa.binary()), old, strict=False):
+                raw = text.as_py() or b""
+                tokens = words(raw)
+                hit, found = index.match(tokens)
                 if had:
                     hit = merged([*hit, *((x["a"], x["b"]) for x in had)])
-                spans.append([{"a": x, "b": y} for x, y in hit])
+                sizes.append(len(tokens))
+                hits.append(hit)
                 items.append(sorted({index.ids[i] for i in found} | set(had_items)))
+                places.append(char_spans(raw, hit) if hit and last else [])
+            names = pa.array(items, pa.list_(pa.string()))
+            if last:
+                out = [pa.array(sizes, pa.int64()), pa.array([sum(y - x for x, y in v) for v in hits], pa.int64()), names, pa.array(places, place)]
+            else:
+                out = [pa.array([[{"a": x, "b": y} for x, y in v] for v in hits], pair), names]
             keep = [n for n in b.schema.names if n not in ("__words", "__items")]
-            yield pa.RecordBatch.from_arrays([*(get(n) for n in keep), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=[*keep, "__words", "__items"])
+            yield pa.RecordBatch.from_arrays([*map(get, keep), *out], names=[*keep, *(n for n, _ in (RESULT if last else BETWEEN))])
 
     return run
 
