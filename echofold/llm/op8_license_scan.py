@@ -5,6 +5,9 @@ than letters and digits one separator, one spelling for equivalent spellings) an
 are looked up with one hash join: the whole text, and each whole line of it, as notices of one line
 stand within other text.  DataFrame functions only.
 
+The query's list holds entire texts of 18 licences (the folder ``licenses``, MIT and ISC), each in the
+spellings in which it is commonly spread, and one-line notices.
+
 Scale: one pass over the text; only rows of (id, unit, digest) leave a task, combined by id before
 the shuffle.  The known licences are joined by equality; Spark broadcasts them only where their
 size is under its threshold, and shuffles otherwise.
@@ -18,7 +21,9 @@ give empty results; further columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,8 +61,39 @@ IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR
 INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
 ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
 THIS SOFTWARE."""
+#: What stands before what is printed after the terms of a licence, which many copies leave out.
+AFTER_TERMS = re.compile(r"(?m)^[ \t]*(?:END OF TERMS AND CONDITIONS\s*)?(?:(?:APPENDIX|ADDENDUM): How to (?:apply|use)|How to Apply These Terms to Your New).*$", re.IGNORECASE)
+FRANKLIN = re.compile(r"51 Franklin St(?:reet)?, Fifth Floor, Boston,? MA\s+02110-1301\s+USA")
+TEMPLE = "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA"
+BSD_TITLES = {"0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License"}
+
+
+def _spellings(name: str, text: str) -> list[str]:
+    """A licence's entire text as it is commonly spread: with or without what follows the terms, older addresses, BSD's heads and list marks."""
+    out = [text]
+    if end := AFTER_TERMS.search(text):
+        terms = text[: end.start()]
+        out += [terms, f"{terms}\nEND OF TERMS AND CONDITIONS\n"]
+    out += [FRANKLIN.sub(TEMPLE, t) for t in out] + [t.replace("https://", "http://") for t in out]
+    if name in BSD_TITLES:
+        out = [t.replace("COPYRIGHT\nHOLDER OR", who).replace("COPYRIGHT HOLDER OR", who) for t in out for who in ("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR")]
+        out += [re.sub(r"(?m)^[ \t]*[123]\.", "*", t) for t in out]
+        bare = [t.replace("All rights reserved.\n", "", 1) for t in out]
+        reserved = [f"All rights reserved.\n{t}" for t in bare]
+        out = [head + t for t in bare + reserved for head in ("", f"{BSD_TITLES[name]}\n")]
+    return list(dict.fromkeys(out))
+
+
+def _entire() -> tuple[tuple[str, str], ...]:
+    """(id, text) of the texts in the folder ``licenses``; a file is named by its licence's id, and what parts it from others of that id."""
+    found = sorted((f.name, f.read_text()) for f in files("echofold.llm").joinpath("licenses").iterdir() if f.name.endswith(".txt"))
+    ids = [(name.removesuffix(".txt").removesuffix(".regents"), text) for name, text in found]
+    return tuple((name, t) for name, text in ids for t in _spellings(name, text))
+
+
 #: (id, text) of the query's known licences: entire texts, and notices of one line.
 KNOWN = (
+    *_entire(),
     ("MIT", MIT), ("MIT", f"MIT License\n{MIT}"), ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."),
     ("ISC", ISC), ("ISC", f"ISC License\n{ISC}"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import itertools
+from importlib.resources import files
 
 import numpy as np
 import pytest
@@ -74,6 +75,19 @@ def test_licences(spark):
     assert op8_license_scan.scan_licenses(docs(spark), op8_license_scan.known_digests(spark)).count() == len(ODD)
 
 
+def test_entire_licences_are_known(spark):
+    """Entire texts as other projects hold them: reflowed, with an owner's line, with and without the appendix."""
+    at = files("echofold.llm").joinpath("licenses")
+    text = {f.name.removesuffix(".txt"): f.read_text() for f in at.iterdir()}
+    reflowed = {k: "  ".join(v.split(" ")).replace("\n", "\r\n") for k, v in text.items()}
+    terms = text["Apache-2.0"].split("   APPENDIX:")[0]
+    bsd = "BSD 3-Clause License\n\nCopyright (c) 2020, Somebody\nAll rights reserved.\n\n" + text["BSD-3-Clause"].replace("HOLDER OR", "OWNER OR")
+    gpl = text["GPL-2.0-only"].replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA")
+    cases = [*((k.removesuffix(".regents"), v) for k, v in reflowed.items()), ("Apache-2.0", terms), ("BSD-3-Clause", bsd), ("GPL-2.0-only", gpl), (None, terms[:-400])]
+    got = {r["doc_id"]: r["license_id"] for r in op8_license_scan.scan_licenses(docs(spark, [(i, t) for i, (_, t) in enumerate(cases)]), op8_license_scan.known_digests(spark)).collect()}
+    assert [got[i] for i in range(len(cases))] == [k for k, _ in cases]
+
+
 def test_licence_scan_is_native(spark, sf_dir):
     plan = catalog.queries()["op8_license_scan"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
