@@ -20,7 +20,7 @@ VECTOR, SPECTRUM_EDGES = 64, (1, 2, 3, 5, 8, 13, 21, 33)
 FRAME, HOP, WIDTH, IMAGE_HOP = 16, 4, 8, 2
 TOP, VECTOR_LOUD, VECTOR_LEAST = 16, 0.2, 4
 BITS, PERMS, RANKS, BANDS = 128, 20, 64, 5
-DOC_BITS, DOC_PERMS, DOC_BANDS, DOC_MIN_SCORE = 2048, 20, 5, 6
+DOC_BITS, DOC_PERMS, DOC_BANDS, DOC_MIN_SCORE = C.N_BITS, C.N_PERMUTATIONS, C.N_BANDS, C.MIN_SCORE
 PASSAGE_BITS, PASSAGE_WIDTH, PASSAGE_HOP = 512, 16, 2
 STREAM_RATE = 40
 
