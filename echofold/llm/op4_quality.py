@@ -7,6 +7,11 @@ document's perplexity sums the model's log-probabilities over its characters; a
 perplexity is at most a quantile, of its own language, of the perplexities of the trusted documents that were held
 out of training (fold 0 of 5, by crc32 of the id).
 
+Words or lines that are repeated over and over are easy to predict, so that perplexity doesn't tell them.  A document's
+variety is the log of the number of its distinct n-grams over the log of the number of all of them, which hardly depends
+on its length; a document is kept only if its variety is at least a low quantile, of its own language, of those of all trusted documents
+(nothing is learned for it, so that none need be held out).
+
 Scale: counts are combined in each task, then by Spark.  The model has a row for each distinct n-gram, which
 levels off with the text, but isn't bounded: while it has at most ``MODEL_ROWS`` rows it is broadcast as
 arrays; beyond that it is dealt to groups by the last character of the context (all that one position
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from echofold.llm.common import crc_mod, cut, table
 
 ORDER, BITS = 5, 12
-QUANTILE = 0.99
+QUANTILE, LEAST_QUANTILE = 0.99, 0.005
 FOLDS = 5
 MODEL_ROWS, BROADCAST_IDS, HELD_CODES = 6_000_000, 1_000_000, 4_000_000
 CHAR = (1 << BITS) - 1
@@ -204,7 +209,7 @@ class Model:
 
 
 def perplexity_sums(docs: DataFrame, model: DataFrame, unknown: float, limit: int = MODEL_ROWS) -> DataFrame:
-    """``docs`` with n_tokens and log_prob (of the whole text) instead of text."""
+    """``docs`` with n_tokens, n_distinct (n-grams) and log_prob (of the whole text) instead of text."""
     # what a position needs shares the last character of its context
     pivot = F.when(F.col("kind") == "b", F.col("code").bitwiseAND(F.lit(CHAR))).when(F.col("size") > 1, F.shiftright("code", BITS).bitwiseAND(F.lit(CHAR))).otherwise(F.lit(-1))
     marked = model.withColumn("pivot", pivot)
@@ -218,7 +223,7 @@ def perplexity_sums(docs: DataFrame, model: DataFrame, unknown: float, limit: in
                 room = limit
             groups[-1].add(c)
             room -= sizes.get(c, 0)
-    df = docs.withColumns({"n_tokens": F.lit(0).cast("long"), "log_prob": F.lit(0.0)})
+    df = docs.withColumns({"n_tokens": F.lit(0).cast("long"), "n_distinct": F.lit(0).cast("long"), "log_prob": F.lit(0.0)})
     for i, group in enumerate(groups):
         own = marked if group is None else marked.filter(F.col("pivot").isin([-1, *sorted(group)]))
         arrays = {}
@@ -228,23 +233,25 @@ def perplexity_sums(docs: DataFrame, model: DataFrame, unknown: float, limit: in
         held = docs.sparkSession.sparkContext.broadcast((arrays, unknown, group))
         if i:
             df = cut(df)
-        df = df.mapInArrow(_adder(held), df.schema)
+        df = df.mapInArrow(_adder(held, first=i == 0), df.schema)
     return df.drop("text")
 
 
-def _adder(held):
+def _adder(held, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*held.value)
         for b in batches:
             names = b.schema.names
             texts, before = b.column(names.index("text")).to_pylist(), np.array(b.column(names.index("log_prob")))
-            n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            n, total, distinct = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             for i in range(0, len(texts), 200):
                 codes, ends = grams(texts[i : i + 200])
                 sums = np.concatenate(([0.0], np.cumsum(model.log_probs(codes))))
                 starts = np.concatenate(([0], ends[:-1]))
                 n[i : i + 200], total[i : i + 200] = ends - starts, sums[ends] - sums[starts]
-            new = {"n_tokens": pa.array(n), "log_prob": pa.array(before + total)}
+                if first:
+                    distinct[i : i + 200] = [len(np.unique(codes[x:y])) for x, y in zip(starts, ends, strict=True)]
+            new = {"n_tokens": pa.array(n), "log_prob": pa.array(before + total)} | ({"n_distinct": pa.array(distinct)} if first else {})
             yield pa.RecordBatch.from_arrays([new.get(x, b.column(k)) for k, x in enumerate(names)], names=names)
 
     return run
@@ -257,21 +264,28 @@ def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(trusted) if few else trusted, "doc_id", "left").withColumn("__trusted", F.coalesce("__trusted", F.lit(False)))
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, lang, n_tokens, perplexity, threshold, kept for each row of ``docs`` (doc_id, text, lang)."""
+def judge_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, least_quantile: float = LEAST_QUANTILE) -> DataFrame:
+    """doc_id, lang, n_tokens, perplexity, threshold, variety, least_variety, kept for each row of ``docs`` (doc_id, text, lang)."""
     marked = with_trust(docs.select("doc_id", "text", "lang"), labels).withColumn("__held", crc_mod(F.col("doc_id"), FOLDS) == 0)
     model, unknown = model_table(count_grams(marked.filter("__trusted and not __held")))
     known = model.limit(1).count() > 0
     sums = cut(perplexity_sums(marked, model, unknown))
     scored = sums.withColumn("perplexity", F.when((F.col("n_tokens") > 0) & F.lit(known), F.exp(-F.col("log_prob") / F.col("n_tokens"))))
+    variety = F.log(F.greatest("n_distinct", F.lit(2))) / F.log(F.greatest("n_tokens", F.lit(3)))
+    scored = scored.withColumn("variety", F.when(F.col("n_tokens") > 0, variety))
     calibration = scored.filter("__trusted and __held and perplexity is not null")
-    at = F.expr(f"percentile_approx(perplexity, {quantile}, 10000)")
-    overall = calibration.agg(at).first()[0]
+    trusted = scored.filter("__trusted and variety is not null")
+    at, least = F.expr(f"percentile_approx(perplexity, {quantile}, 10000)"), F.expr(f"percentile_approx(variety, {least_quantile}, 10000)")
+    overall, overall_least = calibration.agg(at).first()[0], trusted.agg(least).first()[0]
     limits = calibration.groupBy(F.col("lang").alias("__lang")).agg(at.alias("__limit"))
-    joined = scored.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left")
-    threshold = F.coalesce("__limit", F.lit(overall).cast("double"))
-    kept = (F.col("n_tokens") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return joined.withColumn("threshold", threshold).select("doc_id", "lang", "n_tokens", "perplexity", "threshold", kept.alias("kept"))
+    leasts = trusted.groupBy(F.col("lang").alias("__lang")).agg(least.alias("__least"))
+    joined = scored
+    for found in (limits, leasts):
+        joined = joined.join(found, F.col("lang").eqNullSafe(F.col("__lang")), "left").drop("__lang")
+    threshold, least_variety = F.coalesce("__limit", F.lit(overall).cast("double")), F.coalesce("__least", F.lit(overall_least).cast("double"))
+    ok = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) & F.coalesce(F.col("variety") >= F.col("least_variety"), F.lit(True))
+    judged = joined.withColumns({"threshold": threshold, "least_variety": least_variety})
+    return judged.select("doc_id", "lang", "n_tokens", "perplexity", "threshold", "variety", "least_variety", ((F.col("n_tokens") > 0) & ok).alias("kept"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,6 +184,18 @@ def test_quality_tells_junk(spark, sf_dir):
     assert op4_quality.judge_quality(docs(spark, []), labels).count() == 0
 
 
+def test_quality_tells_repeated_words(spark):
+    r = np.random.default_rng(9)
+    words = ["".join(r.choice(list("abcdefghij"), 5)) for _ in range(300)]
+    clean = [(i, " ".join(r.choice(words, int(r.integers(30, 400))))) for i in range(200)]
+    loops = [(1000 + i, clean[i][1][:60] + f" {w}" * 120) for i, w in enumerate(words[:8])] + [(1100 + i, f"{clean[i][1][:50]}.\n" * 30) for i in range(8)]
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    got = {x["doc_id"]: x for x in op4_quality.judge_quality(docs(spark, [*clean, *loops]), labels).collect()}
+    assert sum(got[i]["kept"] for i, _ in clean) >= 190
+    assert any(got[i]["perplexity"] <= got[i]["threshold"] for i, _ in loops), "perplexity alone keeps them"
+    assert not any(got[i]["kept"] for i, _ in loops)
+
+
 def test_language(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = op6_language.op6_language(spark, "/root/testdata/sf0.01").join(frame.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
