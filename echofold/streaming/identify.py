@@ -90,10 +90,10 @@ class Identify(StatefulProcessor):
 
 
 def local_index(signatures: DataFrame, limit: int = 4_000_000) -> LocalIndex:
-    """The index as arrays (100 bytes a signature), where it has at most ``limit`` signatures; larger ones are searched by ``foreach_batch``."""
+    """The index as arrays (100 bytes a signature), where it has at most ``limit`` signatures; larger ones are refused: streams are not identified against them."""
     n = signatures.count()
     if n > limit:
-        raise ValueError(f"{n} signatures are too many for a processor's memory; search windows in micro-batches instead")
+        raise ValueError(f"{n} signatures are too many for a processor's memory, which takes {limit}; streams can't be identified against a larger index")
     got = signatures.select("entry_id", "minhash").toArrow()
     hashes = np.frombuffer(b"".join(got["minhash"].to_pylist()), np.uint8).reshape(-1, C.N_PERMUTATIONS)
     return LocalIndex(got["entry_id"].to_numpy().astype(np.int64), hashes)
@@ -121,7 +121,11 @@ def new_matches(matches: DataFrame, stream: str = "stream_id", order: str = "win
 
 
 def search_batches(windows: DataFrame, search, sink):
-    """A streaming query that runs ``search`` on each micro-batch of windows and hands its result to ``sink``; no feedback."""
+    """A streaming query that runs ``search`` on each micro-batch of windows and hands its result to ``sink``.
+
+    The caller makes the windows: without an index in memory nothing here makes them from a stream, resets buffers on a match or
+    drops repeated results.
+    """
     return windows.writeStream.foreachBatch(lambda df, n: sink(search(df), n))
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from echofold.functions import constants as C
 from echofold.operators import audio
@@ -35,3 +36,9 @@ def test_stream_is_identified(spark, tmp_path):
 def test_new_matches(spark):
     df = spark.createDataFrame([(1, 0, 5), (1, 1, 5), (1, 2, None), (1, 3, 5), (1, 4, 6), (1, 5, 5)], "stream_id int, window_no int, entry_id int")
     assert [r["window_no"] for r in I.new_matches(df).orderBy("window_no").collect()] == [0, 4, 5]
+
+
+def test_large_indexes_are_refused(spark):
+    signatures = spark.createDataFrame([(i, bytes(100)) for i in range(3)], "entry_id int, minhash binary")
+    with pytest.raises(ValueError, match="3 signatures are too many .* takes 2; streams can't be identified"):
+        I.local_index(signatures, limit=2)
