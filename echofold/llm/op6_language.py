@@ -2,8 +2,10 @@
 
 The kernel of two texts is the number of n-grams (1 to ``MAX_N`` characters) that both hold, whatever
 their frequency, over the root of the product of their own numbers.  Training takes a bounded sample of
-labelled rows: at most ``PER_CLASS`` of each language, of texts of at most ``TRAIN_CHARS`` characters, taken by a hash of
-the id.  Of them ``LANDMARKS`` are landmarks; the Nyström map of the others goes to one ridge regression for
+labelled rows: at most ``PER_CLASS`` of each language, by the smallest hashes of the ids, first of texts of at most
+``TRAIN_CHARS`` characters.  Where a language lacks those, longer texts are taken too, whole: executors reduce each to its n-gram
+presence (33 kB), so that none reaches the driver.  Every labelled language is a class; past ``SAMPLE_ROWS`` over ``PER_CLASS`` languages
+each has fewer rows, but one at least.  Of the rows ``LANDMARKS`` are landmarks; the Nyström map of the others goes to one ridge regression for
 each language against the rest.  As the map is linear in a text's presence vector, landmarks and
 regression fold into one matrix (n-grams by languages), and a batch of texts is scored by one product.
 
@@ -17,7 +19,7 @@ Further columns are not read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,11 +33,17 @@ MAX_N, PER_CLASS, LANDMARKS, TRAIN_CHARS, RIDGE = 3, 300, 256, 20_000, 1e-3
 #: Classes of characters: 0 what isn't a letter, 1 to 7 rare letters by their code, the rest a letter each.
 CLASSES, RARE = 64, 7
 BATCH = 256
-#: Languages that are learned at most (the most frequent ones), as the model grows with them.
-MAX_LANGUAGES = 400
+#: Rows of all languages together, while each has one.
+SAMPLE_ROWS = 400 * PER_CLASS
 UND = "und"
 
 
+class Held(str):
+    """The distinct letters of a long text, which stand for it in a sample; ``key`` finds its n-grams."""
+
+    key = 0
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -74,8 +82,8 @@ def presence(codes: np.ndarray, flags: np.ndarray) -> None:
 DIMENSIONS = sum(CLASSES**n for n in range(1, MAX_N + 1))
 
 
-def train(sample: list[tuple[str, str]]) -> Model | None:
-    """From (text, language) pairs, in a fixed order."""
+def train(sample: list[tuple[str, str]], held_presence: Callable[[dict[int, int], list[int]], dict[int, bytes]] | None = None) -> Model | None:
+    """From (text, language) pairs, in a fixed order; ``held_presence`` gives the packed flags of ``Held`` texts from the letters and their keys."""
     sample = [(t, y) for t, y in sample if any(map(str.isalpha, t))]
     if not sample:
         return None
@@ -86,26 +94,35 @@ def train(sample: list[tuple[str, str]]) -> Model | None:
     top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: CLASSES - RARE - 1]
     letters = {ord(c): 1 + RARE + i for i, (c, _) in enumerate(top)}
     classes = class_table(letters)
+    keys = [t.key for t, _ in sample if isinstance(t, Held)]
+    packed = held_presence(letters, keys) if keys else {}
     by_class: dict[str, list[int]] = {y: [] for y in languages}
     for i, (_, y) in enumerate(sample):
         by_class[y].append(i)
     queues, marks = [iter(v) for v in by_class.values()], []
-    while queues and len(marks) < LANDMARKS:
+    while queues and len(marks) < max(LANDMARKS, len(languages)):
         for q in list(queues):
             i = next(q, None)
             if i is None:
                 queues.remove(q)
-            elif len(marks) < LANDMARKS:
+            elif len(marks) < max(LANDMARKS, len(languages)):
                 marks.append(i)
     # one text's n-grams at a time: all of them together would take a row of DIMENSIONS bytes each
     flags = np.zeros(DIMENSIONS, np.uint8)
+
+    def mark(t: str) -> None:
+        if isinstance(t, Held):
+            np.bitwise_or(flags, np.unpackbits(np.frombuffer(packed[t.key], np.uint8), count=DIMENSIONS), out=flags)
+        else:
+            presence(class_codes(t, classes), flags)
+
     for i in marks:
-        presence(class_codes(sample[i][0], classes), flags)
+        mark(sample[i][0])
     vocabulary = np.flatnonzero(flags)
     own, norm = np.zeros((len(sample), len(vocabulary)), np.float32), np.zeros(len(sample))
     for i, (t, _) in enumerate(sample):
         flags[:] = 0
-        presence(class_codes(t, classes), flags)
+        mark(t)
         own[i], norm[i] = flags[vocabulary], np.sqrt(np.count_nonzero(flags))
     land = own[marks] / norm[marks, None].astype(np.float32)
     k = (own @ land.T).astype(np.float64) / norm[:, None]
@@ -150,19 +167,62 @@ def scorer(model: Model | None):
     return score
 
 
+def _labelled(docs: DataFrame, train_chars: int) -> DataFrame:
+    """Rows that can be learned from."""
+    rows = docs.filter("lang is not null and text is not null").filter(F.col("text").rlike(r"\p{L}"))
+    return rows.select("lang", "text", spread(F.col("doc_id"), "language").alias("__at"), (F.length("text") > train_chars).alias("__long"))
+
+
 def training_sample(docs: DataFrame, per_class: int = PER_CLASS, train_chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
-    """At most ``per_class`` (text, lang) of each language, by the smallest hashes of their ids."""
-    labelled = docs.filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    """At most ``per_class`` (text, lang) of each language, by the smallest hashes of their ids; of longer texts, where short ones lack, ``Held`` ones."""
+    labelled = _labelled(docs, train_chars)
+    counts = {(r["lang"], r["__long"]): r["count"] for r in labelled.groupBy("lang", "__long").count().collect()}
     if not counts:
         return []
-    share = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 1.5 * per_class / n))))
-    at = spread(F.col("doc_id"), "language")
-    taken = labelled.withColumn("__at", at).filter(F.col("__at") < F.coalesce(share[F.col("lang")], F.lit(0.0))).filter(F.length("text") <= train_chars)
-    out: dict[str, list] = {}
-    for r in taken.select("__at", "text", "lang").collect():
-        out.setdefault(r["lang"], []).append((r["__at"], r["text"]))
-    return [(t, y) for y in sorted(out) for _, t in sorted(out[y])[:per_class]]
+    languages = {y for y, _ in counts}
+    quota = max(1, min(per_class, SAMPLE_ROWS // len(languages)))
+    want = {(y, False): min(quota, counts.get((y, False), 0)) for y in languages}
+    want |= {(y, True): min(quota - want[y, False], counts.get((y, True), 0)) for y in languages}
+    # more than are wanted, as hashes are spread by chance
+    shares = [(y, long, min(1.0, (1.5 * n + 30) / counts[y, long])) for (y, long), n in want.items() if n]
+    limits = docs.sparkSession.createDataFrame(shares, "lang string, __long boolean, __share double")
+    taken = labelled.join(F.broadcast(limits), ["lang", "__long"]).filter(F.col("__at") < F.col("__share"))
+    out: dict[tuple[str, bool], list] = {}
+    for r in taken.filter("not __long").select("lang", "__at", "text").collect():
+        out.setdefault((r["lang"], False), []).append((r["__at"], r["text"]))
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            letters = ["".join(sorted({c for c in t.as_py().lower() if c.isalpha()})) for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(letters, pa.string())], names=["lang", "at", "key", "letters"])
+
+    if any(n for (_, long), n in want.items() if long):
+        rows = taken.filter("__long").select("lang", "__at", F.xxhash64("text"), "text")
+        for r in rows.mapInArrow(distinct, "lang string, at double, key long, letters string").collect():
+            t = Held(r["letters"])
+            t.key = r["key"]
+            out.setdefault((r["lang"], True), []).append((r["at"], t))
+    chosen = {k: sorted(v, key=lambda x: (x[0], x[1]))[: want[k]] for k, v in out.items()}
+    return [(t, y) for y in sorted(languages) for _, t in sorted(chosen.get((y, False), []) + chosen.get((y, True), []), key=lambda x: x[0])]
+
+
+def long_presence(docs: DataFrame, letters: dict[int, int], keys: list[int], train_chars: int = TRAIN_CHARS) -> dict[int, bytes]:
+    """Packed n-gram flags by key of long texts, made on executors."""
+    wanted = docs.sparkSession.createDataFrame([(k,) for k in sorted(set(keys))], "key long")
+    rows = _labelled(docs, train_chars).filter("__long").select(F.xxhash64("text").alias("key"), "text").join(F.broadcast(wanted), "key").select("key", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, flags = None, np.zeros(DIMENSIONS, np.uint8)
+        for b in batches:
+            classes = class_table(letters) if classes is None else classes
+            out = []
+            for t in b.column(1):
+                flags[:] = 0
+                presence(class_codes(t.as_py(), classes), flags)
+                out.append(np.packbits(flags).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["key", "flags"])
+
+    return {r["key"]: bytes(r["flags"]) for r in rows.mapInArrow(run, "key long, flags binary").collect()}
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -181,9 +241,10 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     return df.mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame) -> Model | None:
+def fit(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> Model | None:
     """Learn from the rows of ``docs`` (doc_id, text, lang) that aren't held out."""
-    return train(training_sample(docs.filter(crc_mod(F.col("doc_id"), 4) != 2)))
+    own = docs.filter(crc_mod(F.col("doc_id"), 4) != 2)
+    return train(training_sample(own, train_chars=train_chars), lambda letters, keys: long_presence(own, letters, keys, train_chars))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

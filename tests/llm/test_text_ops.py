@@ -208,6 +208,18 @@ def test_language(spark):
     assert op6_language.identify(odd.limit(0), model).count() == 0
 
 
+def test_language_learns_from_long_texts(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    want, got = op6_language.fit(frame, 10**9), op6_language.fit(frame, 10)
+    assert got.languages == want.languages and np.array_equal(got.vocabulary, want.vocabulary) and np.allclose(got.weights, want.weights, atol=1e-4)
+    rows = [(i, "abc " * 30, "x") for i in range(40)] + [(100 + i, "abd " * 30 + "e" * 70, "x") for i in range(400)] + [(600, "xyz " * 40, "long")]
+    mixed = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = op6_language.training_sample(mixed, per_class=20, train_chars=130)
+    assert sorted(y for _, y in sample) == ["long"] + ["x"] * 20 and all(not isinstance(t, op6_language.Held) for t, y in sample if y == "x")
+    many = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(420)], "doc_id long, text string, lang string")
+    assert len({y for _, y in op6_language.training_sample(many)}) == 420
+
+
 def test_language_kernel_is_folded_exactly():
     """Scores equal kernel values with the landmarks times the regression's weights."""
     sample = [(t, y) for y, t in [("x", "abc abd abe"), ("y", "xyz xyw xyv"), ("x", "abf abg"), ("y", "xya xyb")]]
