@@ -1,10 +1,10 @@
 """A Python data source for WARC archives: ``format("echofold_warc")``.
 
-Reading: a partition for each archive file, or for each ``split`` bytes of one in which every
-record is a gzip member that states its own length (as archives written here are).  Filters of
-equality or IN on ``record_type``, ``record_id``, ``target_uri`` and ``payload_digest`` are taken
-over by the reader: the header is parsed first, and the payload of a record that a filter rejects, or of any
-record where option ``payload`` is ``false``, is neither inflated nor decoded.
+Reading: a partition for each archive file, whatever its size.  Filters of equality or IN on ``record_type``, ``record_id``,
+``target_uri`` and ``payload_digest`` are taken over by the reader: the header is parsed first.  Where a record is a
+gzip member that states its own length (as in archives written here), the payload of a record that a filter rejects, or of any
+record where option ``payload`` is ``false``, is neither inflated nor decoded; other gzip members are inflated
+whole, in memory, before the filters.
 
 Writing: a file for each task attempt, one gzip member for each record; the commit lists the files of
 the attempts that count, in ``_manifest.json``, so that those of lost attempts are never read.
