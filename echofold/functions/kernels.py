@@ -53,7 +53,7 @@ def images(bins: np.ndarray) -> np.ndarray:
 
 def haar_2d(x: np.ndarray) -> np.ndarray:
     """Standard decomposition: along time, then along frequency."""
-    return np.einsum("ij,njk,lk->nil", C.haar_matrix(x.shape[1]), x, C.haar_matrix(x.shape[2]))
+    return C.haar_matrix(x.shape[1]) @ x @ C.haar_matrix(x.shape[2]).T
 
 
 def top_bits(coefficients: np.ndarray, top: int = C.TOP_WAVELETS) -> tuple[list[np.ndarray], np.ndarray]:

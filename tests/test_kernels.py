@@ -59,3 +59,54 @@ def test_window_schedule():
     other = K.stream_windows([4096] * 560)
     sizes = [(b - a) / second for a, b in other]
     assert [int(s) for s in sizes[:8]] == [2, 3, 4, 5, 6, 7, 8, 9] and all(9 <= s < 9.1 for s in sizes[8:])
+
+
+def plain_haar(row):
+    """The decomposition step by step: sums and differences of pairs, then the same over the sums."""
+    out, n = list(row), len(row)
+    while n > 1:
+        pairs = [(out[2 * i], out[2 * i + 1]) for i in range(n // 2)]
+        out[:n] = [(a + b) / 2**0.5 for a, b in pairs] + [(a - b) / 2**0.5 for a, b in pairs]
+        n //= 2
+    return out
+
+
+def chirp(seconds, seed=0):
+    t = np.arange(int(seconds * 5512.5)) / 5512.5
+    return K.rms_normalize((sum(np.sin(2 * np.pi * f * t * (1 + 0.1 * np.sin(t))) for f in (400, 900, 1500)) + 0.1 * np.random.default_rng(seed).normal(size=len(t))).astype(np.float32))
+
+
+def test_spectra_of_2048_points_equal_the_sum():
+    """A few frames against the plain transform and bins of the real size."""
+    x, n = chirp(3), C.FRAME_LENGTH
+    got = K.frame_bins(x)
+    assert got.shape == (C.n_frames(len(x)), 32)
+    edges, t = C.bin_edges(), np.arange(n)
+    for frame in (0, 57, len(got) - 1):
+        own = x[frame * C.FRAME_HOP : frame * C.FRAME_HOP + n].astype(float) * (0.5 * (1 - np.cos(2 * np.pi * t / (n - 1))))
+        power = [(own @ np.cos(2 * np.pi * t * k / n) / 1024) ** 2 + (own @ np.sin(2 * np.pi * t * k / n) / 1024) ** 2 for k in range(edges[-1])]
+        want = [sum(power[a:b]) / (b - a) for a, b in zip(edges, edges[1:], strict=False)]
+        assert np.allclose(got[frame], want, rtol=1e-4, atol=1e-9)
+
+
+def test_kernel_path_equals_plain_loops_at_its_real_size():
+    """Images of 128 x 32, Haar along both axes, the 200 largest, 8,192 bits and 100 ranks."""
+    bins = K.frame_bins(chirp(2.6))
+    scaled = K.images(bins)
+    for k in (0, len(scaled) - 1):
+        own = bins[k * C.IMAGE_HOP : k * C.IMAGE_HOP + C.IMAGE_WIDTH].astype(float)
+        want = np.log1p(np.minimum(255, 255 * own / own.max())) / np.log(256)
+        assert np.allclose(scaled[k], want, atol=1e-5)
+    coefficients = K.haar_2d(scaled)
+    bits, silent = K.top_bits(coefficients)
+    found = dict(K.signatures(chirp(2.6)))
+    for k in (0, len(scaled) - 1):
+        wide = np.array([plain_haar(col) for col in scaled[k].T.astype(float)]).T
+        want = np.array([plain_haar(row) for row in wide])
+        assert np.allclose(coefficients[k], want, atol=1e-5)
+        flat = coefficients[k].ravel().tolist()
+        top = sorted(range(len(flat)), key=lambda i: (-abs(flat[i]), i))[:200]
+        own = {2 * i + (flat[i] < 0) for i in top if abs(flat[i]) > 0.001}
+        assert set(bits[k].tolist()) == own and silent[k] == (sum(abs(flat[i]) > 1 for i in top) < 10)
+        ranks = [next((r for r, b in enumerate(row) if b in own), 255) for row in C.permutation_table().tolist()]
+        assert found[k] == bytes(ranks)
