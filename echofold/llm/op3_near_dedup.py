@@ -22,6 +22,7 @@ stay in DataFrames; each round is written to the shared folder.
 Edge cases: null and empty texts have empty sets, link with nothing and stay.  A text with fewer words than a shingle is one
 shingle.  Equal sets link.  Rows that repeat an id are judged each by its own text; equal rows stay or go together.  Rows without
 an id link with nothing and stay.  Ties can't arise: the smallest id stands for a component.  Empty tables give no rows.
+``near_duplicates`` reads no other columns than doc_id and text; ``deduplicate`` passes them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -112,11 +113,12 @@ def candidates(reps: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
 
     ``reps``: id, n, sketch.
     """
-    postings = reps.select("id", F.explode("sketch").alias("v"))
-    frequent = cut(postings.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > LIST_ROWS).select("v"))
-    marks = postings.join(frequent, "v").groupBy("id").agg(F.collect_list("v").alias("often"))
-    keyed = reps.join(marks, "id", "left").withColumn("often", F.coalesce("often", F.array().cast("array<long>")))
-    keyed = keyed.withColumn("rare", F.array_except("sketch", "often")).withColumn("often", F.array_intersect("sketch", "often"))
+    postings = reps.select("id", F.explode("sketch").alias("key"))
+    frequent = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > LIST_ROWS)
+    # only infrequent values are carried on: a family's members would each carry nearly all of their values otherwise
+    marks = without_keys(postings, frequent).groupBy("id").agg(F.collect_list("key").alias("rare"))
+    keyed = reps.join(marks, "id", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<long>")))
+    keyed = keyed.withColumn("often", F.array_except("sketch", "rare")).withColumn("rare", F.array_intersect("sketch", "rare"))
     keyed = keyed.withColumn("need", _keys_needed(F.size("rare") / F.size("sketch"), similarity))
     keyed = cut(keyed.select("id", "n", "rare", "often", "need"))
 
@@ -137,15 +139,23 @@ def candidates(reps: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
     return pairs, cut(crowded.select(F.explode(F.slice("often", 1, first)).alias("key"), "id"))
 
 
-def by_key(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rows`` joined with ``keys`` (key, c: its number of rows, others) by key.
-
-    Keys with more than one in ``HOT`` of all rows are fewer than ``HOT``, so they are broadcast and their rows stay where they
-    are; the others shuffle.
-    """
+def parted(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The hot and the other ones of ``keys`` (key, c: its number of rows, others): hot ones have more than one in ``HOT`` of all
+    rows, so that they are fewer than ``HOT`` and can be broadcast."""
     keys = cut(keys)
     total = keys.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    hot, cold = keys.filter(F.col("c") * HOT > total).drop("c"), keys.filter(F.col("c") * HOT <= total).drop("c")
+    return keys.filter(F.col("c") * HOT > total).drop("c"), keys.filter(F.col("c") * HOT <= total).drop("c")
+
+
+def without_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` whose key isn't among ``keys`` (key, c).  Rows of hot keys go where they are; the others shuffle."""
+    hot, cold = parted(keys)
+    return rows.join(F.broadcast(hot), "key", "left_anti").join(cold, "key", "left_anti")
+
+
+def by_key(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` joined with ``keys`` (key, c: its number of rows, others) by key.  Rows of hot keys stay where they are; the others shuffle."""
+    hot, cold = parted(keys)
     rest = rows.join(F.broadcast(hot.select("key")), "key", "left_anti")
     return rows.join(F.broadcast(hot), "key").unionByName(rest.join(cold, "key"))
 
@@ -284,7 +294,7 @@ def deduplicate(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY)
     """``docs`` with one document of each component."""
     dropped = cut(near_duplicates(docs, n, similarity).filter("not kept").select(F.col("doc_id").alias("__id")).distinct())
     few = dropped.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, docs["doc_id"].cast("long") == F.col("__id"), "left_anti")
+    return docs.join(F.broadcast(dropped) if few else dropped, docs["doc_id"].cast("long") == dropped["__id"], "left_anti")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
