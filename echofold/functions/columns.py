@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echofold.functions import constants as C
+from echofold.functions import kernels
 
 
 def scale_to_unit(value: Column, top: Column) -> Column:
@@ -16,30 +21,28 @@ def scale_to_unit(value: Column, top: Column) -> Column:
     return F.log1p(share) / math.log(256)
 
 
-def byte_at(signature: Column, i: int) -> Column:
-    """Byte i of a binary signature, as a number."""
-    return F.conv(F.hex(F.substring(signature, i + 1, 1)), 16, 10).cast("int")
-
-
 def bytes_of(signature: Column) -> Column:
     """A binary signature as an array of numbers."""
     text = F.hex(signature)
     return F.transform(F.sequence(F.lit(0), F.octet_length(signature) - 1), lambda i: F.conv(F.substring(text, 2 * i + 1, 2), 16, 10).cast("int"))
 
 
-def band_key(signature: Column, band: int, width: int = C.BAND_BYTES) -> Column:
-    """``width`` bytes of a band, big-endian, as an unsigned number."""
-    return F.conv(F.hex(F.substring(signature, band * width + 1, width)), 16, 10).cast("long")
+def band_keys(signature: Column, n_bands: int = C.N_BANDS, width: int = C.BAND_BYTES) -> Column:
+    """An array of the bands' keys: ``width`` bytes each, big-endian, as unsigned numbers.  Null without a signature; a band that
+    isn't whole has no key."""
 
+    def keys(signatures: pa.Array) -> pa.Array:
+        return kernels.band_keys(signatures.to_pylist(), n_bands, width)
 
-def bands(signature: Column, n_bands: int = C.N_BANDS, width: int = C.BAND_BYTES) -> Column:
-    """An array of (band_no, band_key)."""
-    return F.array(*(F.struct(F.lit(b).alias("band_no"), band_key(signature, b, width).alias("band_key")) for b in range(n_bands)))
+    return F.arrow_udf(keys, T.ArrayType(T.LongType()))(signature)
 
 
-def equal_bytes(a: Column, b: Column) -> Column:
-    """How many bytes of two signatures of one length are equal; an empty byte equals an empty byte."""
-    return F.aggregate(F.zip_with(bytes_of(a), bytes_of(b), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+def equal_bytes(a: Column, b: Column, n: int = C.N_PERMUTATIONS) -> Column:
+    """How many of the first ``n`` bytes of two signatures are equal; an empty byte equals an empty byte."""
+    parts = [(F.substring(a, i + 1, 1) == F.substring(b, i + 1, 1)).cast("int") for i in range(n)]
+    while len(parts) > 1:
+        parts = [reduce(operator.add, parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def average_score(total: Column, n: Column) -> Column:

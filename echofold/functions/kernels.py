@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 from echofold.functions import constants as C
 
+try:
+    from _md5 import md5  # half the time of hashlib's for short messages
+except ImportError:
+    from hashlib import md5
+
 
 def pcm_to_mono(pcm: bytes, channels: int = 2, signed: bool = True) -> np.ndarray:
     """Little-endian 16-bit interleaved PCM to the mean over channels; ``signed=False`` reads the samples as unsigned."""
@@ -72,6 +80,71 @@ def minhash(bits: np.ndarray, n_bits: int = C.N_BITS) -> np.ndarray:
     return (ranks[bits].min(0) if len(bits) else np.full(ranks.shape[1], C.NO_BIT)).astype(np.uint8)
 
 
+def byte_rows(signatures: list[bytes], n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(s[:n] for s in signatures), np.uint8).reshape(len(signatures), n)
+
+
+def key_rows(hashes: np.ndarray, n_bands: int = C.N_BANDS, width: int = C.BAND_BYTES) -> np.ndarray:
+    """The big-endian number of each band of each row of bytes."""
+    return hashes[:, : n_bands * width].reshape(-1, n_bands, width) @ 256 ** np.arange(width - 1, -1, -1, dtype=np.int64)
+
+
+def band_keys(signatures: list[bytes | None], n_bands: int = C.N_BANDS, width: int = C.BAND_BYTES) -> pa.Array:
+    """A list of the keys of whole bands of each signature; null for null."""
+    kind, n = pa.list_(pa.int64()), n_bands * width
+    if signatures and all(s is not None and len(s) >= n for s in signatures):
+        keys = key_rows(byte_rows(signatures, n), n_bands, width)
+        return pa.ListArray.from_arrays(np.arange(len(signatures) + 1, dtype=np.int32) * n_bands, keys.ravel()).cast(kind)
+    return pa.array([None if s is None else [int.from_bytes(s[width * b : width * (b + 1)]) for b in range(min(n_bands, len(s) // width))] for s in signatures], kind)
+
+
+class BandProbe:
+    """Signatures as rows of bytes, found by their bands' keys (modulo ``buckets``, if given)."""
+
+    SLOT_BITS, PAIRS = 16, 1 << 17
+
+    def __init__(self, hashes: np.ndarray, buckets: int | None = None):
+        self.hashes, self.buckets = hashes, buckets
+        self.keys = self._keys(hashes)
+        self.order = np.argsort(self.keys, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.keys, self.order, 0)
+        self.known = np.zeros((C.N_BANDS, 1 << self.SLOT_BITS), bool)
+        self.known[np.arange(C.N_BANDS), self._slot(self.keys)] = True
+
+    def _keys(self, hashes: np.ndarray) -> np.ndarray:
+        keys = key_rows(hashes)
+        return keys if self.buckets is None else keys % self.buckets
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOT_BITS)
+
+    def pairs(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(row of ``hashes``, own row, equal bands, equal bytes) of all pairs with an equal band, some at a time, each pair once."""
+        keys = self._keys(hashes)
+        maybe = self.known[np.arange(C.N_BANDS), self._slot(keys)]
+        for band in np.flatnonzero(maybe.any(0)):
+            rows = np.flatnonzero(maybe[:, band])
+            low, high = (np.searchsorted(self.sorted[:, band], keys[rows, band], side) for side in ("left", "right"))
+            rows, low, n = rows[high > low], low[high > low], (high - low)[high > low]
+            ends = np.cumsum(n)
+            for start in range(0, int(ends[-1]) if len(ends) else 0, self.PAIRS):
+                i = np.arange(start, min(start + self.PAIRS, int(ends[-1])))
+                at = np.searchsorted(ends, i, "right")
+                row, own = rows[at], self.order[low[at] + i - (ends[at] - n[at]), band]
+                same = keys[row] == self.keys[own]
+                first = same.argmax(1) == band
+                row, own = row[first], own[first]
+                yield row, own, same[first].sum(1), (hashes[row] == self.hashes[own]).sum(1)
+
+
+def shingle_bits(text: str | None, n_bits: int, n_words: int = 3) -> np.ndarray:
+    """The bit of each run of ``n_words`` words, in order; words are parted by ASCII white space, in lower case."""
+    w = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    heads = [md5(b" ".join(s)).digest()[:4] for s in zip(*(w[k:] for k in range(n_words)), strict=False)]
+    return np.frombuffer(b"".join(heads), ">u4").astype(np.int64) % n_bits
+
+
 def signatures(samples: np.ndarray) -> list[tuple[int, bytes]]:
     """(image number, signature) of decimated and normalised samples; silent images and empty signatures are left out."""
     x = images(frame_bins(samples))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echofold.functions import columns as X
 from echofold.functions import constants as C
+from echofold.functions import kernels
 from echofold.operators.signal import literal_table
 
 
@@ -34,7 +35,7 @@ def signatures_of_bits(bits: DataFrame, n_bits: int, n_perms: int, length: int)
 
 def band_table(signatures: DataFrame, n_bands: int = C.N_BANDS, width: int = C.BAND_BYTES) -> DataFrame:
     """(band_no, band_key) with the columns of ``signatures`` (which has minhash)."""
-    return signatures.select("*", F.inline(X.bands(F.col("minhash"), n_bands, width)))
+    return signatures.select("*", F.posexplode(X.band_keys(F.col("minhash"), n_bands, width)).alias("band_no", "band_key"))
 
 
 def shingle_bits(docs: DataFrame, id_col: str, text_col: str, n_bits: int, n_words: int = 3) -> DataFrame:
@@ -46,6 +47,25 @@ def shingle_bits(docs: DataFrame, id_col: str, text_col: str, n_bits: int, n_wor
     return shingles.select("series_id", bit.alias("bit")).distinct()
 
 
+def text_signatures(docs: DataFrame, id_col: str, text_col: str, n_bits: int, n_perms: int, length: int, n_words: int = 3) -> DataFrame:
+    """(series_id, minhash): ``signatures_of_bits`` of ``shingle_bits``, in one narrow pass without a shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(C.rank_table(n_bits, n_perms, length).astype(np.uint8))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = held.value
+        for b in batches:
+            ids, out = [], []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                bits = np.unique(kernels.shingle_bits(text, n_bits, n_words))
+                if len(bits) and (s := ranks[bits].min(0)).min() < length:
+                    ids.append(i)
+                    out.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(out, pa.binary())], names=["series_id", "minhash"])
+
+    df = spread_small(docs.select(F.col(id_col).alias("series_id"), text_col))
+    return df.mapInArrow(run, T.StructType([df.schema["series_id"], T.StructField("minhash", T.BinaryType())]))
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` rows in a row, by doubling."""
     have = 1
@@ -73,8 +93,7 @@ def window_signatures(docs: DataFrame, id_col: str, text_col: str, n_bits: int =
         for b in batches:
             out: list[list] = [[], [], [], []]
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = (text or "").lower().split()
-                bits = np.array([int(hashlib.md5(" ".join(w[k : k + n_words]).encode()).hexdigest()[:8], 16) % n_bits for k in range(len(w) - n_words + 1)], np.int64)
+                bits = kernels.shingle_bits(text, n_bits, n_words)
                 if len(bits) < width:
                     continue
                 x = sliding_min(ranks[bits], width)[::hop]

@@ -5,15 +5,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echofold.functions import columns as X
 from echofold.functions import constants as C
+from echofold.functions import kernels
 from echofold.operators.minhash import band_table
+from echofold.session import written
 
 PAIR = ["query_id", "query_sig", "entry_id", "sig_idx"]
-#: Query signatures that are broadcast at most: 25 bands of about 150 bytes each, 75 MB.
+#: Query signatures that are broadcast at most: about 120 bytes each, 2.4 MB, and 12 MB of keys in a worker.
 BROADCAST_QUERIES = 20_000
 
 
@@ -39,19 +45,49 @@ def pair_scores(pairs: DataFrame, queries: DataFrame, index: DataFrame, min_scor
     return both.withColumn("score", X.equal_bytes(F.col("qh"), F.col("eh"))).filter(F.col("score") >= min_score).select(*PAIR, "n_bands", "score")
 
 
+def held_queries(queries: DataFrame, limit: int = BROADCAST_QUERIES) -> pa.Table | None:
+    """query_id, query_sig, minhash of at most ``limit`` query signatures that aren't null; None if there are more."""
+    got = queries.filter("minhash is not null").select("query_id", "query_sig", "minhash").limit(limit + 1).toArrow()
+    return None if got.num_rows > limit else got.combine_chunks()
+
+
+def met_pairs(held: pa.Table, queries: DataFrame, index: DataFrame, buckets: int | None = None) -> DataFrame:
+    """PAIR, n_bands, score of all pairs that share a band, without a shuffle: the queries are broadcast, the index is read once.
+
+    ``held`` are all of ``queries``.  A pair is made at its first common band, and its bands and bytes are counted there.
+    ``buckets`` as in ``candidates``.
+    """
+    sent = index.sparkSession.sparkContext.broadcast(held)
+    own = index.filter("minhash is not null").select("entry_id", "sig_idx", "minhash")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        if not table.num_rows:
+            return
+        ids, sigs = (table[c].combine_chunks() for c in PAIR[:2])
+        probe = kernels.BandProbe(kernels.byte_rows(table["minhash"].to_pylist(), C.N_PERMUTATIONS), buckets)
+        for b in batches:
+            for row, at, n_bands, score in probe.pairs(kernels.byte_rows(b.column(2).to_pylist(), C.N_PERMUTATIONS)):
+                row, at = pa.array(row), pa.array(at)
+                out = [ids.take(at), sigs.take(at), b.column(0).take(row), b.column(1).take(row), pa.array(n_bands, pa.int64()), pa.array(score, pa.int32())]
+                yield pa.RecordBatch.from_arrays(out, names=[*PAIR, "n_bands", "score"])
+
+    kinds = [queries.schema["query_id"], queries.schema["query_sig"], own.schema["entry_id"], own.schema["sig_idx"]]
+    return own.mapInArrow(run, T.StructType([*kinds, T.StructField("n_bands", T.LongType()), T.StructField("score", T.IntegerType())]))
+
+
+def enough(pairs: DataFrame) -> DataFrame:
+    return pairs.filter((F.col("n_bands") >= C.MIN_BANDS) & (F.col("score") >= C.MIN_SCORE))
+
+
 def scored_pairs(queries: DataFrame, index: DataFrame, limit: int = BROADCAST_QUERIES) -> DataFrame:
     """Pairs with enough bands and equal bytes, as ``pair_scores`` gives them.
 
-    Up to ``limit`` query signatures are broadcast (about 150 bytes for each band), so that the index is read once and
-    not shuffled, and candidates carry both signatures.  Beyond that both sides are shuffled by band.
+    Up to ``limit`` query signatures are broadcast (100 bytes and their ids each).  Beyond that both sides are shuffled by band,
+    where Spark's skew join splits bands that many signatures share.
     """
-    if queries.count() > limit:
-        return pair_scores(candidates(queries, index), queries, index)
-    left = F.broadcast(band_table(queries.select("query_id", "query_sig", F.col("minhash").alias("qh"), "minhash")).drop("minhash"))
-    right = band_table(index.select("entry_id", "sig_idx", "minhash"))
-    pairs = right.join(left, ["band_no", "band_key"]).groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_bands"), F.first("qh").alias("qh"), F.first("minhash").alias("eh"))
-    both = pairs.filter(F.col("n_bands") >= C.MIN_BANDS).withColumn("score", X.equal_bytes(F.col("qh"), F.col("eh")))
-    return both.filter(F.col("score") >= C.MIN_SCORE).select(*PAIR, "n_bands", "score")
+    held = held_queries(queries, limit)
+    return pair_scores(candidates(queries, index), queries, index) if held is None else enough(met_pairs(held, queries, index))
 
 
 def entry_scores(scored: DataFrame) -> DataFrame:
@@ -77,13 +113,17 @@ def rank_entries(scores: DataFrame, top: int = C.TOP_ENTRIES) -> DataFrame:
     """The first ``top`` entries of each query, with losses (how many entries beat it) and rank.
 
     As the comparison is not transitive, entries are ordered by losses, then average, matches and id: the comparison's own
-    order wherever it has no cycle.
+    order wherever it has no cycle.  Entries of equal sum and matches lose to the same ones, so that each (sum, matches) of a query
+    is compared once, however many entries share it.
     """
-    a, b = scores.alias("a"), scores.select("query_id", F.col("entry_id").alias("other"), F.col("average").alias("o_avg"), F.col("n_matches").alias("o_n")).alias("b")
-    lost = beats(F.col("o_avg"), F.col("o_n"), F.col("average"), F.col("n_matches")) & (F.col("other") != F.col("entry_id"))
-    losses = a.join(b, "query_id").groupBy("query_id", "entry_id", "score_sum", "n_matches", "average").agg(F.count_if(lost).alias("losses"))
+    scores = written(scores)
+    states = scores.groupBy("query_id", "score_sum", "n_matches").agg(F.first("average").alias("average"), F.count(F.lit(1)).alias("c"))
+    others = states.select("query_id", F.col("average").alias("o_avg"), F.col("n_matches").alias("o_n"), F.col("c").alias("o_c"))
+    lost = beats(F.col("o_avg"), F.col("o_n"), F.col("average"), F.col("n_matches"))
+    losses = states.join(others, "query_id").groupBy("query_id", "score_sum", "n_matches").agg(F.sum(F.when(lost, F.col("o_c")).otherwise(F.lit(0))).alias("losses"))
     w = Window.partitionBy("query_id").orderBy("losses", F.desc("average"), F.desc("n_matches"), "entry_id")
-    return losses.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    found = scores.join(losses, ["query_id", "score_sum", "n_matches"]).select("query_id", "entry_id", "score_sum", "n_matches", "average", "losses")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
 def best_match(ranked: DataFrame) -> DataFrame:
@@ -92,19 +132,25 @@ def best_match(ranked: DataFrame) -> DataFrame:
     return ranked.filter(qualifies()).withColumn("__first", F.row_number().over(w)).filter("`__first` = 1").select("query_id", "entry_id", "average", "n_matches")
 
 
-def search(queries: DataFrame, index: DataFrame, compat: bool = False) -> DataFrame:
+def search(queries: DataFrame, index: DataFrame, compat: bool = False, limit: int = BROADCAST_QUERIES) -> DataFrame:
     """The best entry of each query that has one.
 
     ``compat`` keeps two quirks of chained hash tables: keys modulo half the number of signatures, and the last candidate of each
     query signature unscored.
     """
     if not compat:
-        return best_match(rank_entries(entry_scores(scored_pairs(queries, index))))
+        return best_match(rank_entries(entry_scores(scored_pairs(queries, index, limit))))
     n = index.count() // 2
     if n == 0:
         index = index.limit(0)
-    pairs = candidates(queries, index, buckets=max(1, n), drop_last=True)
-    return best_match(rank_entries(entry_scores(pair_scores(pairs, queries, index))))
+    held = held_queries(queries, limit)
+    if held is None:
+        scored = pair_scores(candidates(queries, index, buckets=max(1, n), drop_last=True), queries, index)
+    else:
+        pairs = written(met_pairs(held, queries, index, max(1, n)))
+        last = pairs.groupBy("query_id", "query_sig").agg(F.max(F.struct("entry_id", "sig_idx")).alias("last"))  # a row for each query signature
+        scored = enough(pairs.join(F.broadcast(last), ["query_id", "query_sig"]).filter(F.struct("entry_id", "sig_idx") != F.col("last")).drop("last"))
+    return best_match(rank_entries(entry_scores(scored)))
 
 
 def explain_search(queries: DataFrame, index: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from echofold.functions import constants as C
 from echofold.operators import minhash as M
 from echofold.operators import search as S
 from echofold.operators import signal as G
+from echofold.session import shared_dir, written
 from echofold.sources import wav
 from echofold.streaming import identify as I
 
@@ -23,6 +25,8 @@ BITS, PERMS, RANKS, BANDS = 128, 20, 64, 5
 DOC_BITS, DOC_PERMS, DOC_BANDS, DOC_MIN_SCORE = C.N_BITS, C.N_PERMUTATIONS, C.N_BANDS, C.MIN_SCORE
 PASSAGE_BITS, PASSAGE_WIDTH, PASSAGE_HOP = 512, 16, 2
 STREAM_RATE = 40
+#: Bytes of a chunk of the synthetic streams: a seventh of a second.
+STREAM_CHUNK = I.RATE // 7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,7 +136,7 @@ def band_bucket_mod(spark, d):
 
 
 def _doc_signatures(spark, d):
-    return M.signatures_of_bits(M.shingle_bits(table(spark, d, "documents"), "doc_id", "text", DOC_BITS), DOC_BITS, DOC_PERMS, C.NO_BIT)
+    return M.text_signatures(table(spark, d, "documents"), "doc_id", "text", DOC_BITS, DOC_PERMS, C.NO_BIT)
 
 
 def document_signatures(spark, d):
@@ -140,7 +144,7 @@ def document_signatures(spark, d):
 
 
 def _doc_pairs(spark, d):
-    own = _doc_signatures(spark, d).select(F.col("series_id").alias("entry_id"), F.lit(0).alias("sig_idx"), "minhash")
+    own = written(_doc_signatures(spark, d)).select(F.col("series_id").alias("entry_id"), F.lit(0).alias("sig_idx"), "minhash")
     queries = own.select(F.col("entry_id").alias("query_id"), F.col("sig_idx").alias("query_sig"), "minhash")
     pairs = S.candidates(queries, own, n_bands=DOC_BANDS).filter("query_id < entry_id")
     return pairs, queries, own
@@ -279,8 +283,32 @@ def identify_audio(spark, d):
     return S.report(S.search(audio.as_queries(own, "entry_id"), index), entries)
 
 
+def _microphones(spark):
+    """Chunks of two streams: parts of two songs one after the other, and one song alone."""
+    files, rows = dict(_synthetic()), []
+    for stream, names in (("two songs", ("song1.wav", "song0.wav")), ("one song", ("song2.wav",))):
+        parts = [(files[n], wav.parse_wave(files[n]).data_pos) for n in names]
+        pcm = b"".join(f[at : at + 6 * I.RATE] for f, at in parts)
+        rows += [(stream, k, bytearray(pcm[at : at + STREAM_CHUNK])) for k, at in enumerate(range(0, len(pcm), STREAM_CHUNK))]
+    return spark.createDataFrame(rows, "stream_id string, seq long, pcm binary")
+
+
+def stream_identify(spark, d):
+    """Windows of two streams and their songs, by a streaming query that runs until its source is read."""
+    from echofold.operators import audio
+
+    _, signatures = audio.to_index(audio.fingerprint_table(_files(spark).filter("path like 'song%'")))
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    _microphones(spark).write.parquet(f"{at}/chunks")
+    chunks = spark.readStream.schema("stream_id string, seq long, pcm binary").parquet(f"{at}/chunks")
+    with I.rocksdb(spark):
+        out = I.identify_stream(chunks, I.local_index(signatures)).writeStream.format("parquet").option("path", f"{at}/found").option("checkpointLocation", f"{at}/state")
+        out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(I.OUTPUT).parquet(f"{at}/found")
+
+
 NAMES = """rms_normalize fir_decimate hann_window frame_counts frame_slices image_slices dft_power log_bins log_bin_edges image_scale
 haar_1d haar_2d topk_wavelets sign_bits silence_flags minhash_signatures signature_hex band_keys band_bucket_mod
 document_signatures lsh_candidates pair_scores database_stats passage_pairs entry_scores qualified_entries rank_entries best_match
-identify_passage search_compat metadata_parse stream_windows stream_dedup wav_roundtrip fingerprint_audio identify_audio""".split()
+identify_passage search_compat metadata_parse stream_windows stream_dedup wav_roundtrip fingerprint_audio identify_audio stream_identify""".split()
 QUERIES = {n: globals()[n] for n in NAMES}

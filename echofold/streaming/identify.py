@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from echofold.functions import constants as C
 from echofold.functions import kernels
+from echofold.operators import search as S
+from echofold.session import written
 
 RATE = 4 * C.SAMPLE_RATE
+WINDOWS = "stream_id string, window_no long, start_byte long, n_bytes long, signatures array<binary>"
 OUTPUT = "stream_id string, window_no long, start_byte long, n_bytes long, entry_id int, average double, n_matches long, is_new boolean"
 
 
@@ -52,21 +56,27 @@ class LocalIndex:
         return best
 
 
-class Identify(StatefulProcessor):
-    """Keeps each stream's last seconds of PCM.  On a new match the buffer is cleared with the next chunk, if ``feedback``."""
+class Windows(StatefulProcessor):
+    """Keeps each stream's last seconds of PCM and emits its windows with their signatures."""
 
-    def __init__(self, index, feedback: bool = True, signed: bool = True):
-        self.index, self.feedback, self.signed = index, feedback, signed
+    columns = {"signatures": "object"}
+
+    def __init__(self, signed: bool = True):
+        self.signed = signed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("stream", "pcm binary, start long, windows long, last int, hit boolean")
 
+    def found(self, signatures: list[bytes], last: int) -> tuple[tuple, int, bool]:
+        """A window's own columns, the stream's last match, and whether the buffer is to be cleared with the next chunk."""
+        return (signatures,), last, False
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pcm, start, windows, last, hit = self.state.get() if self.state.exists() else (b"", 0, 0, -1, False)
         pcm, out = bytearray(pcm), []
         chunks = pd.concat(list(rows))
         for chunk in chunks.sort_values("seq")["pcm"]:
-            if hit and self.feedback:
+            if hit:
                 start, pcm, hit = start + len(pcm), bytearray(), False
             before = len(pcm) // RATE
             pcm += chunk
@@ -76,24 +86,38 @@ class Identify(StatefulProcessor):
                 start += RATE
             if now != before and now >= C.STREAM_MIN_SECONDS:
                 samples = kernels.from_44100(kernels.pcm_to_mono(bytes(pcm), 2, self.signed))
-                found = self.index.search([s for _, s in kernels.signatures(samples)])
-                new = found is not None and found[0] != last
-                out.append((key[0], windows, start, len(pcm), found and found[0], found and found[1], found and found[2], new))
+                own, last, hit = self.found([s for _, s in kernels.signatures(samples)], last)
+                out.append((key[0], windows, start, len(pcm), *own))
                 windows += 1
-                if new:
-                    last, hit = found[0], True
         self.state.update((bytes(pcm), start, windows, last, hit))
-        yield pd.DataFrame(out, columns=["stream_id", "window_no", "start_byte", "n_bytes", "entry_id", "average", "n_matches", "is_new"]).astype({"entry_id": "Int32", "n_matches": "Int64", "window_no": "int64", "start_byte": "int64", "n_bytes": "int64", "average": "float64", "is_new": "bool"})
+        kinds = {"window_no": "int64", "start_byte": "int64", "n_bytes": "int64", **self.columns}
+        yield pd.DataFrame(out, columns=["stream_id", *kinds]).astype(kinds)
 
     def close(self) -> None:
         pass
 
 
+class Identify(Windows):
+    """Searches each window in ``index``.  On a new match the buffer is cleared with the next chunk, if ``feedback``."""
+
+    columns = {"entry_id": "Int32", "average": "float64", "n_matches": "Int64", "is_new": "bool"}
+
+    def __init__(self, index: LocalIndex, feedback: bool = True, signed: bool = True):
+        super().__init__(signed)
+        self.index, self.feedback = index, feedback
+
+    def found(self, signatures: list[bytes], last: int) -> tuple[tuple, int, bool]:
+        best = self.index.search(signatures)
+        if best is None:
+            return (None, None, None, False), last, False
+        return (*best, best[0] != last), best[0], best[0] != last and self.feedback
+
+
 def local_index(signatures: DataFrame, limit: int = 4_000_000) -> LocalIndex:
-    """The index as arrays (100 bytes a signature), where it has at most ``limit`` signatures; larger ones are refused: streams are not identified against them."""
+    """The index as arrays (100 bytes a signature), where it has at most ``limit`` signatures; larger ones are refused: ``search_batches`` takes those."""
     n = signatures.count()
     if n > limit:
-        raise ValueError(f"{n} signatures are too many for a processor's memory, which takes {limit}; streams can't be identified against a larger index")
+        raise ValueError(f"{n} signatures are too many for a processor's memory, which takes {limit}; search_batches searches larger indexes")
     got = signatures.select("entry_id", "minhash").toArrow()
     hashes = np.frombuffer(b"".join(got["minhash"].to_pylist()), np.uint8).reshape(-1, C.N_PERMUTATIONS)
     return LocalIndex(got["entry_id"].to_numpy().astype(np.int64), hashes)
@@ -120,13 +144,43 @@ def new_matches(matches: DataFrame, stream: str = "stream_id", order: str = "win
     return matches.filter(F.col(match).isNotNull()).withColumn("__last", last).filter(~F.col(match).eqNullSafe(F.col("__last"))).drop("__last")
 
 
-def search_batches(windows: DataFrame, search, sink):
-    """A streaming query that runs ``search`` on each micro-batch of windows and hands its result to ``sink``.
+def stream_windows(chunks: DataFrame, signed: bool = True) -> DataFrame:
+    """(stream_id, window_no, start_byte, n_bytes, signatures) of a stream of (stream_id, seq, pcm), without feedback.  Needs the RocksDB state store."""
+    return chunks.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=Windows(signed), outputStructType=WINDOWS, outputMode="Append", timeMode="None")
+
 
-    The caller makes the windows: without an index in memory nothing here makes them from a stream, resets buffers on a match or
-    drops repeated results.
+def search_windows(windows: DataFrame, index: DataFrame) -> DataFrame:
+    """(stream_id, window_no, start_byte, n_bytes, entry_id, average, n_matches): the best entry of each window, found by the band join."""
+    key = F.to_json(F.struct("stream_id", "window_no"))
+    queries = windows.select(key.alias("query_id"), F.posexplode("signatures").alias("query_sig", "minhash"))
+    best = S.search(queries, index).withColumnRenamed("query_id", "__key")
+    own = windows.select("stream_id", "window_no", "start_byte", "n_bytes", key.alias("__key"))
+    return own.join(best, "__key", "left").drop("__key")
+
+
+def search_batches(chunks: DataFrame, index: DataFrame, sink, signed: bool = True):
+    """A streaming writer for an index of any size: each micro-batch's windows are searched by the band join, and ``sink`` gets (matches, number of the batch).
+
+    Searching comes after the processor that holds the buffers, so that a match can't clear them: windows are those of
+    ``identify_stream(feedback=False)``.  ``new_matches`` drops repeated results from what the sink has stored.
     """
-    return windows.writeStream.foreachBatch(lambda df, n: sink(search(df), n))
+
+    def run(df: DataFrame, n: int) -> None:
+        sink(search_windows(written(df), index), n)
+
+    return stream_windows(chunks, signed).writeStream.foreachBatch(run)
+
+
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession):
+    """The state store that processors need, for streams that are started inside; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def chunk_files(spark: SparkSession, path: str) -> DataFrame:
