@@ -1,16 +1,17 @@
 """Licence scans: digests of normalised texts, looked up among the digests of known licences.
 
-A text is put into a canonical form (lower case, no copyright lines, every run of other characters
-than letters and digits one separator, one spelling for equivalent spellings) and hashed.  Two units
+A text is put into a canonical form (lower case, no copyright notices, every run of other characters
+than letters and digits one separator, one spelling for equivalent spellings) and hashed.  A copyright
+line is one that starts with ``copyright`` or ``(c)`` and a year, or with a name after the sign; other lines that start with
+those words are the licence's own, so that a text's digest doesn't depend on where its lines break.  Two units
 are looked up with one hash join: the whole text, and each whole line of it, as notices of one line
 stand within other text.  DataFrame functions only.
 
 The query's list holds entire texts of 18 licences (the folder ``licenses``, MIT and ISC), each in the
 spellings in which it is commonly spread, and one-line notices.
 
-Scale: one pass over the text; only rows of (id, unit, digest) leave a task, combined by id before
-the shuffle.  The known licences are joined by equality; Spark broadcasts them only where their
-size is under its threshold, and shuffles otherwise.
+Scale: one pass over the text; a line's form is made once, and a text's form is joined of its lines'.  Known digests are counted: up to
+``BROADCAST_KNOWN`` they are broadcast, so that lines that match none never leave their task; more are joined by shuffle.
 
 Edge cases: null and empty texts, and texts that are nothing but copyright lines and punctuation,
 have the digest of the empty form and match nothing.  Equal texts get equal rows; rows with equal
@@ -104,23 +105,53 @@ KNOWN = (
 )
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form: ``' word  word '``, each word between spaces of its own, so that each can be replaced."""
-    kept = F.regexp_replace(F.lower(text), r"(?md)^[ \t]*(?:copyright|\(c\)|©).*$", "")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(kept, r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
+#: Notices inside licences themselves, wherever their lines break: those of the licence's own text, and places to fill in.
+OWN_NOTICE = (
+    r"copyright[ \t\r\n]+(?:\(c\)[ \t\r\n]+)?"
+    r"(?:[0-9, \t\r\n]+free[ \t\r\n]+software[ \t\r\n]+foundation,[ \t\r\n]+inc\.?"
+    r"|(?:<year>|19yy|year|\[yyyy\])[ \t\r\n]+(?:<name[ \t\r\n]+of[ \t\r\n]+author>|your[ \t\r\n]+name|\[name[ \t\r\n]+of[ \t\r\n]+copyright[ \t\r\n]+owner\]))"
+)
+#: The rest of a copyright line, after what may stand before it: a name after the sign, or a year.
+NOTICE = r"[ \t]*(?:[*#/;%-]+[ \t]*)?(?:©.*|\(c\)[ \t]*(?:19|20)[0-9][0-9].*|copyright[ \t:]*(?:\(c\)|©).*|copyright[ \t:]+(?:by[ \t]+)?(?:19|20)[0-9][0-9].*)"
+#: Known digests that are broadcast at most, 100 bytes each; more are joined by shuffle.
+BROADCAST_KNOWN = 100_000
+
+
+def _one_of(words: Sequence[str]) -> str:
+    """A pattern of the words between spaces, grouped by their first letters."""
+    letters = sorted({w[0] for w in words})
+    return " (?:" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in words if w[0] == c)})" for c in letters) + ") "
+
+
+def line_forms(text: Column) -> Column:
+    """The canonical form of each line: words parted by two spaces, without copyright notices and in one spelling."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    bare = F.regexp_replace(F.regexp_replace(low, OWN_NOTICE, " "), f"(?md)^{NOTICE}$", "")
+    kept = F.when(F.rlike(low, F.lit(r"copyright|\(c\)|©")), bare).otherwise(low)
+    words = F.replace(F.regexp_replace(kept, r"[^a-z0-9\n\p{L}\p{N}]+", "  "), F.lit("\n"), F.lit(" \n "))
+    return F.transform(F.split(_spelled(F.concat(F.lit(" "), words, F.lit(" "))), "\n"), lambda x: F.trim(x))
+
+
+def _spelled(words: Column) -> Column:
+    out = words
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return out
+    return F.when(F.rlike(words, F.lit(_one_of([a for a, _ in SPELLINGS]))), out).otherwise(words)
+
+
+def whole_form(lines: Column) -> Column:
+    """The canonical form of a text, wherever its lines break, of its lines' forms."""
+    return F.array_join(F.filter(lines, lambda x: x != ""), "  ")
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(F.coalesce(text, F.lit(""))).cast("binary"), 256)
+def digest(form: Column) -> Column:
+    return F.sha2(F.concat(F.lit(" "), form, F.lit(" ")).cast("binary"), 256)
 
 
 def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
     """(digest, license_id) of (id, text) pairs; forms without a word are left out."""
-    df = spark.createDataFrame(list(known), "license_id string, license_text string")
-    return df.filter(canonical(F.col("license_text")) != "  ").select(digest(F.col("license_text")).alias("digest"), "license_id").distinct()
+    df = spark.createDataFrame(list(known), "license_id string, license_text string").select("license_id", whole_form(line_forms(F.col("license_text"))).alias("form"))
+    return df.filter("form <> ''").select(digest(F.col("form")).alias("digest"), "license_id").distinct()
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,11 +159,11 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
 
     ``known``: digest, license_id, as ``known_digests`` gives them.
     """
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    numbered = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("__row"), body.alias("__text"))
-    units = numbered.select(id_col, "__row", F.posexplode(F.concat(F.array("__text"), F.split("__text", "\n"))).alias("__unit", "__line"))
-    hashed = units.select(id_col, "__row", (F.col("__unit") == 0).alias("__whole"), digest(F.col("__line")).alias("digest"))
-    found = hashed.join(known, "digest", "left").filter("__whole or license_id is not null")
+    forms = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("__row"), line_forms(F.col(text_col)).alias("__lines"))
+    units = F.concat(F.array(whole_form(F.col("__lines"))), F.filter("__lines", lambda x: x != ""))
+    hashed = forms.select(id_col, "__row", F.posexplode(units).alias("__unit", "__form")).select(id_col, "__row", (F.col("__unit") == 0).alias("__whole"), digest(F.col("__form")).alias("digest"))
+    few = known.limit(BROADCAST_KNOWN + 1).count() <= BROADCAST_KNOWN
+    found = hashed.join(F.broadcast(known) if few else known, "digest", "left").filter("__whole or license_id is not null")
     return (
         found.groupBy(id_col, "__row")
         .agg(
@@ -149,21 +180,27 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """The same digests from another order of steps: lines are parted first, spellings are replaced in each."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    form = "' ' || trim(regexp_replace(regexp_replace(lower({}), '(?m)^[ \\t]*(?:copyright|\\(c\\)|©).*$', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || ' '"
+    plain = "regexp_replace(regexp_replace(lower({}), " + quote(OWN_NOTICE) + ", ' ', 'g'), " + quote("(?m)^" + NOTICE + "$") + ", '', 'g')"
+    spelled = "x"
     for a, b in SPELLINGS:
-        form = f"replace({form}, ' {a} ', ' {b} ')"
+        spelled = f"replace({spelled}, ' {a} ', ' {b} ')"
+    form = f"(SELECT string_agg(trim({spelled}), '  ' ORDER BY i) FILTER (trim(x) <> '') FROM (SELECT unnest(u) AS x, generate_subscripts(u, 1) AS i))"
+    lines = "list_transform(string_split({}, chr(10)), lambda y: ' ' || trim(regexp_replace(y, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || ' ')"
     values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in KNOWN)
     return f"""
 WITH known AS (
-  SELECT DISTINCT license_id, sha256({form.format("t")}) AS digest FROM (VALUES {values}) v(license_id, t)),
+  SELECT DISTINCT license_id, sha256(' ' || f || ' ') AS digest
+  FROM (SELECT license_id, {form} AS f FROM (SELECT license_id, {lines.format(plain.format("t"))} AS u FROM (VALUES {values}) v(license_id, t))) WHERE f IS NOT NULL),
+parted AS (
+  SELECT doc_id, {lines.format(plain.format("coalesce(text, '')"))} AS u FROM documents),
 whole AS (
-  SELECT doc_id, sha256({form.format("coalesce(text, '')")}) AS text_digest FROM documents),
+  SELECT doc_id, sha256(' ' || coalesce({form}, '') || ' ') AS text_digest FROM parted),
 lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+  SELECT doc_id, sha256(' ' || trim({spelled}) || ' ') AS digest FROM (SELECT doc_id, unnest(u) AS x FROM parted) WHERE trim(x) <> ''),
 notices AS (
-  SELECT l.doc_id, string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) AS notices
-  FROM (SELECT doc_id, sha256({form.format("line")}) AS digest FROM lines) l JOIN known k USING (digest) GROUP BY l.doc_id)
+  SELECT l.doc_id, string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) AS notices FROM lines l JOIN known k USING (digest) GROUP BY l.doc_id)
 SELECT w.doc_id, w.text_digest, (SELECT min(license_id) FROM known k WHERE k.digest = w.text_digest) AS license_id,
   coalesce(n.notices, '') AS notices
 FROM whole w LEFT JOIN notices n USING (doc_id)

@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 import itertools
+import re
+import textwrap
 from importlib.resources import files
 
 import numpy as np
@@ -88,6 +90,32 @@ def test_entire_licences_are_known(spark):
     assert [got[i] for i in range(len(cases))] == [k for k, _ in cases]
 
 
+def wrapped(text, width):
+    """Paragraphs filled anew to a width; 0 puts all on one line."""
+    if not width:
+        return " ".join(text.split())
+    return "\n\n".join(textwrap.fill(" ".join(x.split()), width, break_long_words=False, break_on_hyphens=False) for x in re.split(r"\n[ \t]*\n", text))
+
+
+def test_digests_do_not_depend_on_line_breaks(spark):
+    """Every known licence wrapped at several widths, with the owner's line before it."""
+    at = files("echofold.llm").joinpath("licenses")
+    text = {f.name.removesuffix(".txt"): f.read_text() for f in at.iterdir()} | {"MIT": op8_license_scan.MIT, "ISC": op8_license_scan.ISC}
+    del text["BSD-3-Clause.regents"]  # its first line is a notice, which one line can't tell from the rest
+    cases = [(k, f"Copyright (c) 2019 somebody\n\n{wrapped(t, n)}") for k, t in text.items() for n in (60, 72, 80, 0)]
+    cases += [("MIT", f"MIT License\n\n© Some Body\n\n{wrapped(op8_license_scan.MIT, 50)}"), ("MIT", "# Copyright: 2001-2020 X\n" + op8_license_scan.MIT.replace("OR\nCOPYRIGHT", "OR COPYRIGHT\n"))]
+    got = {r["doc_id"]: r for r in op8_license_scan.scan_licenses(docs(spark, [(i, t) for i, (_, t) in enumerate(cases)]), op8_license_scan.known_digests(spark)).collect()}
+    assert [got[i]["license_id"] for i in range(len(cases))] == [k for k, _ in cases]
+    assert all(len({got[4 * k + n]["text_digest"] for n in range(4)}) == 1 for k in range(len(text)))
+
+
+def test_large_known_tables_are_shuffled(spark, monkeypatch):
+    known, rows = op8_license_scan.known_digests(spark), [(1, op8_license_scan.MIT), (2, "x\nAll rights reserved.\ny"), (3, None)]
+    want = sorted(op8_license_scan.scan_licenses(docs(spark, rows), known).collect())
+    monkeypatch.setattr(op8_license_scan, "BROADCAST_KNOWN", 3)
+    assert sorted(op8_license_scan.scan_licenses(docs(spark, rows), known).collect()) == want and [r["notices"] for r in want] == ["", "ARR", ""]
+
+
 def test_licence_scan_is_native(spark, sf_dir):
     plan = catalog.queries()["op8_license_scan"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
