@@ -1,13 +1,18 @@
 """WARC archives of web pages: deduplicated by payload when written, read back by the data source of ``warc``.
 
 Scale: digests and lengths are found in the scan; only (digest, largest id) is shuffled to find which
-payloads recur, combined before the shuffle.  Pages then meet that table by digest, where Spark splits
-hot digests (its skew join).  Reading takes a task for each archive file.
+payloads recur, combined before the shuffle.  That table is broadcast up to ``BROADCAST_RECURRING`` rows of about 100 bytes, so that no
+payload is moved; beyond, pages meet it by digest, where Spark splits hot digests (its skew join).  Archives are read in pieces of about
+64 MB.
 
 Edge cases: a null html is an empty payload; payloads under ``MIN_REVISIT`` bytes are responses each, so
 copies of them stand side by side; a null URL leaves out the header.  Rows with equal ids and
 payloads give as many records (each a response only if it has the largest id).  An empty table gives
-no archive and no rows.  Line breaks in a URL become spaces in its header.
+no archive and no rows.  Line breaks in a URL become spaces in its header.  Pages without an id have records without a number.  Further
+columns of pages are not read.  A payload is held whole in memory, one at a time.
+
+Spark refuses Python sources with pushed filters unless ``spark.sql.python.filterPushdown.enabled`` is on: ``read_archives`` turns
+it on for the session, where it concerns such sources only.
 """
 
 from __future__ import annotations
@@ -17,13 +22,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofold.llm.common import shared_dir, table
+from echofold.llm.common import cut, shared_dir, table
 from echofold.llm.warc import WarcDataSource
 
 MIN_REVISIT = 1000
+BROADCAST_RECURRING = 500_000
 
 
-def archive_records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+def archive_records(pages: DataFrame, min_revisit: int = MIN_REVISIT, limit: int = BROADCAST_RECURRING) -> DataFrame:
     """page_id, url, html to the columns that the archive writer takes."""
     body = F.coalesce("html", F.lit("")).cast("binary")
     own = pages.select("page_id", "url", body.alias("payload")).select(
@@ -31,7 +37,8 @@ def archive_records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFra
     )
     slim = pages.select("page_id", body.alias("payload")).filter(F.octet_length("payload") >= min_revisit)
     recurs = slim.groupBy(F.sha1("payload").alias("payload_digest")).agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    joined = own.join(recurs.select("payload_digest", "response"), "payload_digest", "left")
+    recurs = cut(recurs.select("payload_digest", "response"))
+    joined = own.join(F.broadcast(recurs) if recurs.count() <= limit else recurs, "payload_digest", "left")
     revisit = (F.col("payload_bytes") >= min_revisit) & F.col("response").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("response")))
     return joined.select(
         F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")).alias("record_id"),
@@ -41,6 +48,7 @@ def archive_records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFra
         "payload_digest",
         "payload_bytes",
         F.when(~revisit, F.col("payload")).alias("payload"),
+        F.lit("text/html; charset=utf-8").alias("content_type"),
     )
 
 

@@ -152,6 +152,80 @@ def test_warc_filters_are_pushed(spark, tmp_path):
     assert [x for p in reader.partitions() for x in reader.read(p)] == []
 
 
+def records_of(spark, ids, n=1200):
+    return op7_warc.archive_records(spark.createDataFrame([(i, f"http://h/{i}", f"{i} " + "p" * n) for i in ids], "page_id long, url string, html string"))
+
+
+def test_warc_jobs_add_up(spark, tmp_path):
+    """Two appends, a failed attempt's file, and an overwrite."""
+    at = str(tmp_path / "w")
+    op7_warc.write_archives(records_of(spark, range(3)), at)
+    op7_warc.write_archives(records_of(spark, range(10, 13)), at)
+    (tmp_path / "w" / "lost.warc.gz").write_bytes(warc.member(warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:page:99>")], b"x")))
+    ids = lambda: sorted(r["record_id"] for r in op7_warc.read_archives(spark, at).collect())
+    assert ids() == sorted(f"<urn:page:{i}>" for i in (0, 1, 2, 10, 11, 12))
+    spark.dataSource.register(warc.WarcDataSource)
+    records_of(spark, [7]).write.format("echofold_warc").mode("overwrite").option("path", at).save()
+    assert ids() == ["<urn:page:7>"]
+    head = op7_warc.read_archives(spark, at).first()["headers"]
+    assert head["content-type"] == "text/html; charset=utf-8" and not head["warc-date"].startswith("1970")
+
+
+def test_warc_files_are_split(spark, tmp_path):
+    at = str(tmp_path / "w")
+    spark.dataSource.register(warc.WarcDataSource)
+    r = np.random.default_rng(3)
+    pages = spark.createDataFrame([(i, "u", r.bytes(700).hex()) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    op7_warc.archive_records(pages).write.format("echofold_warc").mode("append").option("mark", "1000").option("path", at).save()
+    reader = warc.WarcReader({"path": at, "split": "20000"})
+    pieces = reader.partitions()
+    assert len(pieces) >= 3 and all(a.end == b.start for a, b in zip(pieces, pieces[1:], strict=False) if a.path == b.path)
+    found = [[x[0] for x in reader.read(p)] for p in pieces]
+    assert min(map(len, found)) > 0 and sorted(x for own in found for x in own) == sorted(f"<urn:page:{i}>" for i in range(60))
+    df = spark.read.format("echofold_warc").option("split", "20000").load(at)
+    assert df.rdd.getNumPartitions() == len(pieces) and df.count() == 60
+
+
+@pytest.mark.parametrize("value, want", [("md5:d41d8cd98f00b204e9800998ecf8427e", "md5:d41d8cd98f00b204e9800998ecf8427e"), ("sha1:3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ", "da39a3ee5e6b4b0d3255bfef95601890afd80709"), ("SHA1:DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "da39a3ee5e6b4b0d3255bfef95601890afd80709"), ("sha256:abc", "sha256:abc"), ("sha1:!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!", "sha1:!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!"), (None, None), ("d41d8cd98f00b204e9800998ecf8427e", "d41d8cd98f00b204e9800998ecf8427e")])
+def test_digests_of_other_writers(value, want):
+    assert warc.hex_digest(value) == want
+
+
+def test_single_member_archives_are_streamed(tmp_path):
+    """30 MB of rejected payloads in one gzip member, in a few MB of memory."""
+    import tracemalloc
+
+    big = b"".join(warc.record([("WARC-Type", "response" if i % 10 else "metadata"), ("WARC-Record-ID", f"<r{i}>"), ("WARC-Payload-Digest", "md5:d41d8cd98f00b204e9800998ecf8427e")], bytes([i % 251]) * 300_000) for i in range(100))
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(big, 1) + gzip.compress(b"") + gzip.compress(warc.record([("WARC-Type", "metadata"), ("WARC-Record-ID", "<last>")], b"z")))
+    reader = warc.WarcReader({"path": str(tmp_path / "a.warc.gz"), "payload": "false"})
+    reader.wanted.values["warc-type"] = {"metadata"}
+    del big
+    tracemalloc.start()
+    got = [x[0] for p in reader.partitions() for x in reader.read(p)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [f"<r{i}>" for i in range(0, 100, 10)] + ["<last>"] and peak < 4_000_000
+    whole = warc.WarcReader({"path": str(tmp_path / "a.warc.gz")})
+    assert [len(x[-1]) for p in whole.partitions() for x in whole.read(p)] == [300_000] * 100 + [1]
+    (tmp_path / "cut.warc.gz").write_bytes((tmp_path / "a.warc.gz").read_bytes()[:20_000])
+    cut = warc.WarcReader({"path": str(tmp_path / "cut.warc.gz")})
+    with pytest.raises(ValueError, match="cut short"):
+        [x for p in cut.partitions() for x in cut.read(p)]
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_warc_of_odd_pages(spark, tmp_path, limit):
+    """No ids, repeated rows, a large payload, columns with clashing names; recurring digests broadcast and shuffled."""
+    big = "é" * 2_000_000
+    rows = [(None, None, "a"), (None, "u", "b" * 1000), (1, "u", big), (1, "u", big), (2, "u", big), (3, "u", "b" * 1000), (4, "u", None)]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, payload string, response int")
+    op7_warc.write_archives(op7_warc.archive_records(pages, limit=limit), str(tmp_path / "w"))
+    got = sorted((r["record_id"], r["record_type"], r["refers_to"] or "", r["payload_bytes"]) for r in op7_warc.read_archives(spark, str(tmp_path / "w")).collect())
+    page = lambda i: f"<urn:page:{i}>"
+    want = [(page(""), "response", "", 1), (page(""), "revisit", page(3), 1000), *[(page(1), "revisit", page(2), 4_000_000)] * 2, (page(2), "response", "", 4_000_000), (page(3), "response", "", 1000), (page(4), "response", "", 0)]
+    assert got == sorted(want)
+
+
 def test_warc_of_nothing(spark, tmp_path):
     op7_warc.write_archives(op7_warc.archive_records(spark.createDataFrame([], "page_id long, url string, html string")), str(tmp_path / "w"))
     assert op7_warc.read_archives(spark, str(tmp_path / "w")).count() == 0
