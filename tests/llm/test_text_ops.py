@@ -215,17 +215,63 @@ def test_language_learns_from_long_texts(spark):
     rows = [(i, "abc " * 30, "x") for i in range(40)] + [(100 + i, "abd " * 30 + "e" * 70, "x") for i in range(400)] + [(600, "xyz " * 40, "long")]
     mixed = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     sample = op6_language.training_sample(mixed, per_class=20, train_chars=130)
-    assert sorted(y for _, y in sample) == ["long"] + ["x"] * 20 and all(not isinstance(t, op6_language.Held) for t, y in sample if y == "x")
+    assert sorted(y for _, y in sample) == ["long"] + ["x"] * 20 and all(isinstance(t, str) for t, y in sample if y == "x")
     many = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(420)], "doc_id long, text string, lang string")
     assert len({y for _, y in op6_language.training_sample(many)}) == 420
 
 
-def test_language_kernel_is_folded_exactly():
-    """Scores equal kernel values with the landmarks times the regression's weights."""
-    sample = [(t, y) for y, t in [("x", "abc abd abe"), ("y", "xyz xyw xyv"), ("x", "abf abg"), ("y", "xya xyb")]]
+def brute_grams(text):
+    low = ["*" if not c.isalpha() else c for c in text.lower()]
+    return {tuple(low[i : i + n]) for n in (1, 2, 3) for i in range(len(low) - n + 1)}
+
+
+def brute_scores(sample, texts):
+    """Kernel ridge regression with all texts as landmarks: sets, a kernel by its definition, one solve a language."""
+    own = [brute_grams(t) for t, _ in sample]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    k = np.array([[kernel(a, b) for b in own] for a in own])
+    languages = sorted({y for _, y in sample})
+    values, vectors = np.linalg.eigh(k)
+    good = values > 1e-8 * values.max()
+    half = (vectors[:, good] / np.sqrt(values[good]))
+    phi = np.column_stack((k @ half, np.ones(len(sample))))
+    weight = np.array([len(sample) / len(languages) / sum(z == y for _, z in sample) for _, y in sample])
+    out = []
+    for language in languages:
+        y = np.array([1.0 if z == language else -1.0 for _, z in sample])
+        ridge = np.diag([1e-3 * len(sample)] * (phi.shape[1] - 1) + [1e-9 * len(sample)])
+        w = np.linalg.solve(phi.T @ np.diag(weight) @ phi + ridge, phi.T @ (weight * y))
+        out.append([np.append(np.array([kernel(brute_grams(t), b) for b in own]) @ half, 1) @ w for t in texts])
+    return languages, np.array(out).T
+
+
+def test_language_scores_against_brute_force():
+    """Scripts of many letters, repeated rows and very long texts."""
+    r = np.random.default_rng(12)
+    alphabets = {"zh": [chr(c) for c in range(0x4E00, 0x4E00 + 900)], "ja": [chr(c) for c in range(0x3041, 0x3090)] + [chr(c) for c in range(0x4F00, 0x4F00 + 300)], "ru": list("абвгдежзийклмнопрстуфхцчшщъыьэюя"), "el": list("αβγδεζηθικλμνξοπρστυφχψω"), "en": list("abcdefghijklmnopqrstuvwxyz")}
+    draw = lambda y, n: " ".join("".join(r.choice(alphabets[y], 4)) for _ in range(n))
+    sample = [(draw(y, 30), y) for y in alphabets for _ in range(8)]
+    sample += sample[:2]
+    texts = [draw(y, 12) for y in alphabets for _ in range(6)] + [draw("ru", 20_000), sample[0][0], sample[0][0], "x 1", "한국어", draw("zh", 3) + draw("en", 4)]
+    languages, want = brute_scores(sample, texts)
     model = op6_language.train(sample)
-    names, scores = op6_language.scorer(model)(["abc abg", "xyw xyz", "xyz"])
-    assert names == ["x", "y", "y"] and all(0.5 < s <= 1 for s in scores)
+    names, scores = op6_language.scorer(model)(texts)
+    assert model.languages == languages
+    assert np.allclose(scores, np.clip((want.max(1) + 1) / 2, 0, 1), atol=1e-4)
+    assert [n for n, w in zip(names, want, strict=True) if np.ptp(np.sort(w)[-2:]) > 1e-3] == [languages[w.argmax()] for w in want if np.ptp(np.sort(w)[-2:]) > 1e-3]
+    assert names[:30] == [y for y in alphabets for _ in range(6)] and scores[31] == scores[32]
+
+
+def test_language_learns_over_400_languages(spark):
+    r = np.random.default_rng(13)
+    rows = []
+    for k in range(420):
+        own = [chr(c) for c in r.choice(np.arange(0x4E00, 0x9FA0), 12, replace=False)]
+        rows += [(4 * k + i, " ".join("".join(r.choice(own, 5)) for _ in range(12)), f"l{k}") for i in (0, 1, 3)]
+    model = op6_language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 420
+    names, _ = op6_language.scorer(model)([t for _, t, _ in rows])
+    assert np.mean([n == y for n, (_, _, y) in zip(names, rows, strict=True)]) > 0.95
 
 
 def test_toxicity_held_out(spark):
