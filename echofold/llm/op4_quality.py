@@ -12,85 +12,108 @@ variety is the log of the number of its distinct n-grams over the log of the num
 on its length; a document is kept only if its variety is at least a low quantile, of its own language, of those of all trusted documents
 (nothing is learned for it, so that none need be held out).
 
+N-grams are exact: a character is its code point, after lower-casing, with all digits one and runs of white space one.  Five of
+them take two numbers (``hi`` the first two, ``lo`` the other three).  Workers look n-grams up by a 64-bit hash of these.
+
 Scale: counts are combined in each task, then by Spark.  The model has a row for each distinct n-gram, which
-levels off with the text, but isn't bounded: while it has at most ``MODEL_ROWS`` rows it is broadcast as
-arrays; beyond that it is dealt to groups by the last character of the context (all that one position
-needs shares it), and documents take a pass for each group, which adds its share to their sums.  Trusted ids are broadcast
+levels off with the text, but isn't bounded.  It is written to the shared folder, where workers read it, so that nothing of
+its size passes through the driver.  Beyond ``MODEL_ROWS`` rows it is dealt to shards by the last two characters of the
+context: what one position needs shares them, but for the n-grams of one and two characters, which every shard has.
+Documents take a pass for each shard, which adds its share to their sums.  Trusted ids are broadcast
 up to ``BROADCAST_IDS``, and joined by shuffle beyond.
 
 Edge cases: null and empty texts have no characters, a null perplexity, and are not kept.  A null language is a language of its own.
 A language without held-out trusted documents takes the quantile over all languages; without any trusted
 document nothing can be judged: perplexity is null and kept is true for every text that isn't empty.  Several labels of
-one document: all must say 1.  Repeated rows are judged one by one.
+one document: all must say 1.  Repeated rows are judged one by one.  Very long texts are judged whole.  Further columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofold.llm.common import crc_mod, cut, table
+from echofold.llm.common import crc_mod, cut, mix64, shared_dir, table
+from echofold.llm.warc import open_fs
 
-ORDER, BITS = 5, 12
+ORDER, BITS = 5, 21
 QUANTILE, LEAST_QUANTILE = 0.99, 0.005
 FOLDS = 5
 MODEL_ROWS, BROADCAST_IDS, HELD_CODES = 6_000_000, 1_000_000, 4_000_000
-CHAR = (1 << BITS) - 1
+CHAR, PAIR = (1 << BITS) - 1, (1 << 2 * BITS) - 1
+#: Stands before a text; no character of a text, as white space is one space.
 PAD = 10
-#: Characters from this code on share the rest of the 12 bits by their remainder.
-PLAIN = 4000
+#: A prime that spreads pairs of characters over shards.
+SPREAD = 1_000_003
+P1 = np.uint64(0x9E3779B97F4A7C15)
 
 
 def characters(text: str) -> np.ndarray:
-    """Lower-cased characters as 12-bit numbers: digits are 0, runs of white space one space."""
+    """Lower-cased code points: digits are 0, runs of white space one space."""
     cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     cp[(cp >= 48) & (cp <= 57)] = 48
     cp[(cp <= 32) | (cp == 0xA0)] = 32
     if len(cp) > 1:
         cp = cp[np.append(True, (cp[1:] != 32) | (cp[:-1] != 32))]
-    return np.where(cp < PLAIN, cp, PLAIN + cp % (CHAR - PLAIN))
+    return cp
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character, and where each text's n-grams end."""
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hi and lo of the n-gram that ends at each character, and where each text's n-grams end."""
     pad = np.full(ORDER - 1, PAD, np.int64)
-    codes, ends, total = [], [], 0
+    parts, at, ends, total = [], [], [], 0
     for t in texts:
         c = characters(t) if t else pad[:0]
         if len(c):
-            x = np.concatenate((pad, c))
-            code = np.zeros(len(c), np.int64)
-            for j in range(ORDER):
-                code = code << BITS | x[j : j + len(c)]
-            codes.append(code)
+            at.append(np.arange(len(c)) + (total + len(pad) * (len(at) + 1)))
+            parts += [pad, c]
         total += len(c)
         ends.append(total)
-    return np.concatenate(codes) if codes else np.zeros(0, np.int64), np.array(ends, np.int64)
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.array(ends, np.int64)
+    x, i = np.concatenate(parts), np.concatenate(at)
+    two = x[:-1] << BITS | x[1:]  # starts at each place
+    return two[i - 4], x[i - 2] << 2 * BITS | two[i - 1], np.array(ends, np.int64)
+
+
+def keys_of(hi: np.ndarray | None, lo: np.ndarray) -> np.ndarray:
+    """64-bit hashes of n-grams; hi is None for three characters and fewer."""
+    with np.errstate(over="ignore"):
+        low = lo.astype(np.uint64)
+        return mix64(low if hi is None else hi.astype(np.uint64) * P1 ^ low)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(code, n) of the n-grams of every text of ``docs``."""
+    """(hi, lo, n) of the n-grams of every text of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        send = lambda: pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts)], names=["code", "n"])
+        nothing = [np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))]
+        held = nothing  # keys, hi, lo, counts
+
+        def send() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in held[1:]], names=["hi", "lo", "n"])
+
         for b in batches:
             texts = b.column(0).to_pylist()
             for i in range(0, len(texts), 500):
-                code, many = np.unique(grams(texts[i : i + 500])[0], return_counts=True)
-                both = np.concatenate((held, code))
-                held, back = np.unique(both, return_inverse=True)
-                counts = np.bincount(back, np.concatenate((counts, many)), len(held)).astype(np.int64)
-                if len(held) > HELD_CODES:
+                hi, lo, _ = grams(texts[i : i + 500])
+                keys, first, many = np.unique(keys_of(hi, lo), return_index=True, return_counts=True)
+                new = [np.concatenate(x) for x in zip(held, (keys, hi[first], lo[first], many), strict=True)]
+                keys, first, back = np.unique(new[0], return_index=True, return_inverse=True)
+                held = [keys, new[1][first], new[2][first], np.bincount(back, new[3], len(keys)).astype(np.int64)]
+                if len(keys) > HELD_CODES:
                     yield send()
-                    held, counts = held[:0], counts[:0]
+                    held = nothing
         yield send()
 
-    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: dict[int, int]) -> tuple[float, float, float]:
@@ -103,36 +126,47 @@ def discounts(counts: dict[int, int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1))
 
 
+def shorter(size: int) -> tuple[Column, Column]:
+    """hi and lo of an n-gram's last ``size`` characters, of one character more."""
+    hi = F.col("hi").bitwiseAND(F.lit((1 << BITS * (size - 3)) - 1)) if size > 3 else F.lit(0).cast("long")
+    return hi, F.col("lo") if size >= 3 else F.col("lo").bitwiseAND(F.lit((1 << BITS * size) - 1))
+
+
+def before_last() -> tuple[Column, Column]:
+    """hi and lo of an n-gram's context."""
+    return F.shiftright("hi", BITS), F.shiftright("lo", BITS).bitwiseOR(F.shiftleft(F.col("hi").bitwiseAND(F.lit(CHAR)), 2 * BITS))
+
+
 def model_table(top: DataFrame) -> tuple[DataFrame, float]:
-    """(kind, size, code, value) from (code, n) of the longest n-grams, and the log-probability of an unknown character.
+    """(kind, size, hi, lo, value) from (hi, lo, n) of the longest n-grams, and the log-probability of an unknown character.
 
     Kind ``p`` has the log-probability of an n-gram's last character after the others; kind ``b`` the log of the weight that a
     context leaves to the shorter n-gram.
     """
     by_order = {ORDER: cut(top.withColumnRenamed("n", "a"))}
     for size in range(ORDER - 1, 0, -1):
-        shorter = F.col("code").bitwiseAND(F.lit((1 << BITS * size) - 1))
-        by_order[size] = cut(by_order[size + 1].groupBy(shorter.alias("code")).agg(F.count(F.lit(1)).alias("a")))
+        hi, lo = shorter(size)
+        by_order[size] = cut(by_order[size + 1].groupBy(hi.alias("hi"), lo.alias("lo")).agg(F.count(F.lit(1)).alias("a")))
     types = by_order[1].count()
     parts, below, unknown = [], None, 0.0
     for size in range(1, ORDER + 1):
         grams_ = by_order[size]
         d = discounts({r["a"]: r["count"] for r in grams_.filter("a <= 4").groupBy("a").count().collect()})
         less = F.when(F.col("a") == 1, d[0]).when(F.col("a") == 2, d[1]).otherwise(d[2])
-        context = F.shiftright("code", BITS) if size > 1 else F.lit(0).cast("long")
-        of_context = grams_.groupBy(context.alias("h")).agg(F.sum("a").alias("total"), F.sum(less).alias("left"))
-        own = grams_.withColumn("h", context).join(of_context, "h")
+        ch, cl = before_last() if size > 1 else (F.lit(0).cast("long"), F.lit(0).cast("long"))
+        of_context = grams_.groupBy(ch.alias("ch"), cl.alias("cl")).agg(F.sum("a").alias("total"), F.sum(less).alias("left"))
+        own = grams_.withColumns({"ch": ch, "cl": cl}).join(of_context, ["ch", "cl"])
         if size == 1:
             left = of_context.select(F.max(F.col("left") / F.col("total"))).first()[0] or 1.0
-            prob = own.select("code", ((F.col("a") - less) / F.col("total") + left / (types + 1)).alias("p"))
+            prob = own.select("hi", "lo", ((F.col("a") - less) / F.col("total") + left / (types + 1)).alias("p"))
             unknown = float(np.log(left / (types + 1)))
         else:
-            shorter = F.col("code").bitwiseAND(F.lit((1 << BITS * (size - 1)) - 1))
-            prob = own.withColumn("s", shorter).join(below.select(F.col("code").alias("s"), F.col("p").alias("q")), "s")
-            prob = prob.select("code", ((F.col("a") - less) / F.col("total") + F.col("left") / F.col("total") * F.col("q")).alias("p"))
-            parts.append(of_context.select(F.lit("b").alias("kind"), F.lit(size - 1).alias("size"), F.col("h").alias("code"), F.log(F.col("left") / F.col("total")).alias("value")))
+            sh, sl = shorter(size - 1)
+            prob = own.withColumns({"sh": sh, "sl": sl}).join(below.select(F.col("hi").alias("sh"), F.col("lo").alias("sl"), F.col("p").alias("q")), ["sh", "sl"])
+            prob = prob.select("hi", "lo", ((F.col("a") - less) / F.col("total") + F.col("left") / F.col("total") * F.col("q")).alias("p"))
+            parts.append(of_context.select(F.lit("b").alias("kind"), F.lit(size - 1).alias("size"), F.col("ch").alias("hi"), F.col("cl").alias("lo"), F.log(F.col("left") / F.col("total")).alias("value")))
         below = cut(prob)
-        parts.append(below.select(F.lit("p").alias("kind"), F.lit(size).alias("size"), "code", F.log("p").alias("value")))
+        parts.append(below.select(F.lit("p").alias("kind"), F.lit(size).alias("size"), "hi", "lo", F.log("p").alias("value")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
@@ -140,118 +174,125 @@ def model_table(top: DataFrame) -> tuple[DataFrame, float]:
 
 
 class Lookup:
-    """Values by code: an open hash table of arrays."""
+    """Values by 64-bit hash: an open hash table of arrays."""
 
-    def __init__(self, codes: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(len(codes) * 3).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
-        open_, at = np.arange(len(codes)), self._slot(codes)
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(len(keys) * 3).bit_length())
+        self.keys, self.values, self.full = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.float32), np.zeros(1 << self.bits, bool)
+        open_, at = np.arange(len(keys)), self._slot(keys)
         while len(open_):
             slot, first = np.unique(at[open_], return_index=True)
-            free = self.keys[slot] < 0
+            free = ~self.full[slot]
             won = open_[first[free]]
-            self.keys[at[won]], self.values[at[won]] = codes[won], values[won]
-            lost = np.ones(len(codes), bool)
+            self.keys[at[won]], self.values[at[won]], self.full[at[won]] = keys[won], values[won], True
+            lost = np.ones(len(keys), bool)
             lost[won] = False
             open_ = open_[lost[open_]]
             at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
 
-    def _slot(self, codes: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def get(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values, and whether each code is there."""
-        at = self._slot(codes)
-        key = self.keys[at]
-        found = key == codes
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and whether each key is there."""
+        at = self._slot(keys)
+        full = self.full[at]
+        found = full & (self.keys[at] == keys)
         value = self.values[at]
-        open_ = np.flatnonzero(~found & (key >= 0))
+        open_ = np.flatnonzero(full & ~found)
         where = at[open_]
         while len(open_):
             where = (where + 1) & (len(self.keys) - 1)
-            key = self.keys[where]
-            hit = key == codes[open_]
+            full = self.full[where]
+            hit = full & (self.keys[where] == keys[open_])
             value[open_[hit]] = self.values[where[hit]]
             found[open_[hit]] = True
-            more = ~hit & (key >= 0)
+            more = full & ~hit
             open_, where = open_[more], where[more]
         return value, found
 
 
 class Model:
-    """The arrays of one group: probabilities and weights by size, and which last characters of contexts it judges."""
-
-    def __init__(self, arrays: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]], unknown: float, group: set[int] | None):
-        self.tables = {k: Lookup(*v) for k, v in arrays.items()}
-        self.unknown = unknown
-        self.mine = None
-        if group is not None:
-            self.mine = np.zeros(CHAR + 1, bool)
-            self.mine[list(group)] = True
-
-    def log_probs(self, codes: np.ndarray) -> np.ndarray:
-        """Of each n-gram's last character; 0 for what another group judges."""
-        out = np.zeros(len(codes))
-        open_ = np.arange(len(codes)) if self.mine is None else np.flatnonzero(self.mine[codes >> BITS & CHAR])
-        code = codes[open_]
+    """One shard's probabilities and weights by size."""
+
+    def __init__(self, arrays: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]], unknown: float, shard: int = 0, shards: int = 1):
+        self.tables = {(kind, size): Lookup(keys_of(hi if size > 3 else None, lo), values) for (kind, size), (hi, lo, values) in arrays.items()}
+        self.unknown, self.shard, self.shards = unknown, shard, shards
+
+    def log_probs(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Of each n-gram's last character; 0 for what another shard judges."""
+        out = np.zeros(len(lo))
+        open_ = np.arange(len(lo)) if self.shards == 1 else np.flatnonzero((lo >> BITS & PAIR) % SPREAD % self.shards == self.shard)
+        h, l = hi[open_], lo[open_]
         for size in range(ORDER, 0, -1):
-            code = code & ((1 << BITS * size) - 1)
+            h = h & ((1 << BITS * (size - 3)) - 1) if size > 3 else None
+            l = l if size >= 3 else l & ((1 << BITS * size) - 1)
             if ("p", size) in self.tables:
-                value, found = self.tables["p", size].get(code)
+                value, found = self.tables["p", size].get(keys_of(h, l))
                 out[open_[found]] += value[found]
-                open_, code = open_[~found], code[~found]
+                open_, h, l = open_[~found], None if h is None else h[~found], l[~found]
             if size > 1 and ("b", size - 1) in self.tables and len(open_):
-                value, found = self.tables["b", size - 1].get(code >> BITS)
+                ch, cl = None if size <= 4 else h >> BITS, l >> BITS if h is None else l >> BITS | (h & CHAR) << 2 * BITS
+                value, found = self.tables["b", size - 1].get(keys_of(ch, cl))
                 out[open_[found]] += value[found]
         out[open_] += self.unknown
         return out
 
 
+#: The shard that a worker holds, by its place: it is read once for all tasks of a worker.
+_HELD: dict[tuple[str, int], Model] = {}
+
+
+def _model(at: str, unknown: float, shard: int, shards: int) -> Model:
+    if (at, shard) not in _HELD:
+        import pyarrow.parquet as pq
+
+        _HELD.clear()
+        fs, root = open_fs(at)
+        arrays = {}
+        for kind, size in [("p", x) for x in range(1, ORDER + 1)] + [("b", x) for x in range(1, ORDER)]:
+            own = [f"{root}/shard={k}/kind={kind}/size={size}" for k in (-1, shard)]
+            files = [x.path for d in own if fs.get_file_info(d).type == pafs.FileType.Directory for x in fs.get_file_info(pafs.FileSelector(d)) if x.path.endswith(".parquet")]
+            if files:
+                t = pa.concat_tables([pq.read_table(f, filesystem=fs, partitioning=None) for f in sorted(files)])
+                arrays[kind, size] = tuple(t[c].to_numpy() for c in ("hi", "lo", "value"))
+        _HELD[at, shard] = Model(arrays, unknown, shard, shards)
+    return _HELD[at, shard]
+
+
 def perplexity_sums(docs: DataFrame, model: DataFrame, unknown: float, limit: int = MODEL_ROWS) -> DataFrame:
     """``docs`` with n_tokens, n_distinct (n-grams) and log_prob (of the whole text) instead of text."""
-    # what a position needs shares the last character of its context
-    pivot = F.when(F.col("kind") == "b", F.col("code").bitwiseAND(F.lit(CHAR))).when(F.col("size") > 1, F.shiftright("code", BITS).bitwiseAND(F.lit(CHAR))).otherwise(F.lit(-1))
-    marked = model.withColumn("pivot", pivot)
-    sizes = {r["pivot"]: r["count"] for r in marked.groupBy("pivot").count().collect()}  # 4,097 rows at most
-    groups: list[set[int] | None] = [None]
-    if sum(sizes.values()) > limit:
-        groups, room = [set()], limit
-        for c in sorted(set(range(CHAR + 1))):
-            if groups[-1] and sizes.get(c, 0) > room:
-                groups.append(set())
-                room = limit
-            groups[-1].add(c)
-            room -= sizes.get(c, 0)
+    everywhere = ((F.col("kind") == "p") & (F.col("size") <= 2)) | ((F.col("kind") == "b") & (F.col("size") == 1))
+    counted = model.agg(F.count(F.lit(1)).alias("all"), F.count_if(everywhere).alias("low")).first()
+    shards = 1 if counted["all"] <= limit else math.ceil((counted["all"] - counted["low"]) / max(limit - counted["low"], limit // 4, 1))
+    pair = F.when(F.col("kind") == "p", F.shiftright("lo", BITS)).otherwise(F.col("lo")).bitwiseAND(F.lit(PAIR))
+    at = f"{shared_dir(docs.sparkSession)}/quality-{uuid.uuid4().hex}"
+    dealt = model.withColumns({"value": F.col("value").cast("float"), "shard": F.when(everywhere, -1).otherwise(pair % SPREAD % shards).cast("int")})
+    dealt.write.partitionBy("shard", "kind", "size").parquet(at)
     df = docs.withColumns({"n_tokens": F.lit(0).cast("long"), "n_distinct": F.lit(0).cast("long"), "log_prob": F.lit(0.0)})
-    for i, group in enumerate(groups):
-        own = marked if group is None else marked.filter(F.col("pivot").isin([-1, *sorted(group)]))
-        arrays = {}
-        for kind, size in [("p", x) for x in range(1, ORDER + 1)] + [("b", x) for x in range(1, ORDER)]:
-            part = own.filter((F.col("kind") == kind) & (F.col("size") == size)).select("code", F.col("value").cast("float")).toArrow()
-            arrays[kind, size] = (part["code"].to_numpy(), part["value"].to_numpy())
-        held = docs.sparkSession.sparkContext.broadcast((arrays, unknown, group))
-        if i:
+    for shard in range(shards):
+        if shard:
             df = cut(df)
-        df = df.mapInArrow(_adder(held, first=i == 0), df.schema)
+        df = df.mapInArrow(_adder(at, unknown, shard, shards), df.schema)
     return df.drop("text")
 
 
-def _adder(held, first: bool):
+def _adder(at: str, unknown: float, shard: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*held.value)
+        model = _model(at, unknown, shard, shards)
         for b in batches:
             names = b.schema.names
             texts, before = b.column(names.index("text")).to_pylist(), np.array(b.column(names.index("log_prob")))
             n, total, distinct = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             for i in range(0, len(texts), 200):
-                codes, ends = grams(texts[i : i + 200])
-                sums = np.concatenate(([0.0], np.cumsum(model.log_probs(codes))))
+                hi, lo, ends = grams(texts[i : i + 200])
+                sums = np.concatenate(([0.0], np.cumsum(model.log_probs(hi, lo))))
                 starts = np.concatenate(([0], ends[:-1]))
                 n[i : i + 200], total[i : i + 200] = ends - starts, sums[ends] - sums[starts]
-                if first:
-                    distinct[i : i + 200] = [len(np.unique(codes[x:y])) for x, y in zip(starts, ends, strict=True)]
-            new = {"n_tokens": pa.array(n), "log_prob": pa.array(before + total)} | ({"n_distinct": pa.array(distinct)} if first else {})
+                if not shard:
+                    keys = keys_of(hi, lo)
+                    distinct[i : i + 200] = [len(np.unique(keys[x:y])) for x, y in zip(starts, ends, strict=True)]
+            new = {"n_tokens": pa.array(n), "log_prob": pa.array(before + total)} | ({} if shard else {"n_distinct": pa.array(distinct)})
             yield pa.RecordBatch.from_arrays([new.get(x, b.column(k)) for k, x in enumerate(names)], names=names)
 
     return run

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -128,47 +129,54 @@ def test_near_duplicates_against_sql(spark, sf_dir, duck):
     same(catalog.queries()["op3_near_dedup"](spark, sf_dir), duck, catalog.oracle_sql()["op3_near_dedup"])
 
 
+def plain_grams(text):
+    """The five characters that end at each one, as tuples."""
+    low = re.sub(r"[\x00-\x20\xa0]+", " ", re.sub("[0-9]", "0", (text or "").lower()))
+    c = ["^"] * 4 + list(low)
+    return [tuple(c[i : i + 5]) for i in range(len(low))]
+
+
 def brute_kneser_ney(train):
-    """Probabilities by the textbook recursion over dictionaries."""
+    """Probabilities by the textbook recursion over dictionaries of tuples."""
     top = Counter()
     for t in train:
-        top.update(op4_quality.grams([t])[0].tolist())
-    adjusted = {op4_quality.ORDER: top}
-    for size in range(op4_quality.ORDER - 1, 0, -1):
-        adjusted[size] = Counter(g & ((1 << op4_quality.BITS * size) - 1) for g in adjusted[size + 1])
+        top.update(plain_grams(t))
+    adjusted = {5: top}
+    for size in range(4, 0, -1):
+        adjusted[size] = Counter(g[1:] for g in adjusted[size + 1])
     discount = {s: op4_quality.discounts(Counter(c.values())) for s, c in adjusted.items()}
     after = {s: defaultdict(list) for s in adjusted}
     for s, c in adjusted.items():
         for g, n in c.items():
-            after[s][g >> op4_quality.BITS if s > 1 else 0].append(n)
+            after[s][g[:-1]].append(n)
     types = len(adjusted[1])
 
-    def p(code, s):
-        if s == 0:
+    def p(gram):
+        if not gram:
             return 1 / (types + 1)
-        code &= (1 << op4_quality.BITS * s) - 1
-        own = after[s].get(code >> op4_quality.BITS if s > 1 else 0)
+        s, own = len(gram), after[len(gram)].get(gram[:-1])
         if not own:
-            return p(code, s - 1)
+            return p(gram[1:])
         cut = lambda n: discount[s][min(n, 3) - 1]
-        n = adjusted[s].get(code, 0)
-        return ((n - cut(n)) / sum(own) if n else 0) + sum(map(cut, own)) / sum(own) * p(code, s - 1)
+        n = adjusted[s].get(gram, 0)
+        return ((n - cut(n)) / sum(own) if n else 0) + sum(map(cut, own)) / sum(own) * p(gram[1:])
 
     return p
 
 
 @pytest.mark.parametrize("limit", [10**9, 300])
-def test_quality_model_against_brute_force(spark, limit):
+@pytest.mark.parametrize("letters", ["abcdé", "жзийλμν", "".join(chr(c) for c in range(0x4E00, 0x4E00 + 40)) + "\U0001F600\U0001F601"])
+def test_quality_model_against_brute_force(spark, limit, letters):
     r = np.random.default_rng(6)
-    texts = [" ".join("".join(r.choice(list("abcdé"), r.integers(1, 6))) for _ in range(30)) for _ in range(12)]
+    texts = [" ".join("".join(r.choice(list(letters), r.integers(1, 6))) for _ in range(30)) for _ in range(12)]
     p = brute_kneser_ney(texts[:8])
     model, unknown = op4_quality.model_table(op4_quality.count_grams(docs(spark, list(enumerate(texts[:8])))))
-    odd = [*texts, "Zebra 42 !!\n\n ok", "", None]
+    odd = [*texts, "Zebra 42 !!\n\n ok", "", None, "漢字 ab", texts[0] * 40, texts[0]]
     got = {x["doc_id"]: x for x in op4_quality.perplexity_sums(docs(spark, list(enumerate(odd))), model, unknown, limit).collect()}
     for i, t in enumerate(odd):
-        codes = op4_quality.grams([t])[0].tolist()
-        assert got[i]["n_tokens"] == len(codes)
-        assert math.isclose(got[i]["log_prob"], sum(math.log(p(c, op4_quality.ORDER)) for c in codes), rel_tol=1e-4, abs_tol=1e-3)
+        own = plain_grams(t)
+        assert got[i]["n_tokens"] == len(own) and got[i]["n_distinct"] == len(set(own))
+        assert math.isclose(got[i]["log_prob"], sum(math.log(p(g)) for g in own), rel_tol=1e-4, abs_tol=1e-3)
 
 
 def test_quality_tells_junk(spark, sf_dir):
