@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echofold.session import shared_dir, written
+
+__all__ = ["LOWER", "M64", "UPPER", "WORD_TABLE", "ascii_lower", "binomial_floor", "crc_mod", "cut", "mix64", "rows", "shared_dir", "spread", "table", "words"]
+
 #: A to Z, the only letters that the contracts lower-case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes 0x00-0x2F, 0x3A-0x60 and 0x7B-0x7F part words; A to Z become a to z first.
@@ -31,24 +34,9 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests on one machine) a new temporary folder is set.
-    """
-    sc = spark.sparkContext
-    at = sc.getCheckpointDir()
-    if at:  # Spark adds a folder of the session's own
-        return at
-    named = sc.getConf().get("spark.checkpoint.dir", "")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, from files in the shared folder: lineage ends, and a lost executor loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return written(df)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

@@ -13,7 +13,7 @@ judges the keys of its own shards only.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and an empty path, matches no rule
 and is looked up as the empty key.  Repeated pages are judged one by one.  Null listed keys are
-ignored.  Empty tables give empty results.  Further columns of pages are not read.
+ignored.  Empty tables give empty results.  Further columns of pages are not read.  Very long URLs are judged whole.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ each shard.  Batches run over shard borders, so a bucket has one batch at most t
 
 Edge cases: null, empty and wordless texts have no tokens: they get one row with bucket_len 0 and null
 batch.  Very long texts give many pieces, spread over shards.  Repeated rows are packed each; rows of equal id are told
-apart by a row number.  Fewer lengths than buckets give as many buckets.  An empty table gives no rows.
+apart by a row number.  Fewer lengths than buckets give as many buckets.  An empty table gives no rows.  Further columns are not read.
 """
 
 from __future__ import annotations

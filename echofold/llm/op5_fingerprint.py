@@ -15,7 +15,8 @@ before it as well.  Each text crosses one shuffle; nothing is gathered on the dr
 
 Edge cases: a null text counts as empty; empty texts share one fingerprint (all zeros), equal to no other.
 Texts shorter than a k-mer are one k-mer.  Rows with equal ids are ordered by text; null ids come first.  A single document is its own
-successor.  An empty table gives no rows.  Further columns are not read.
+successor.  An empty table gives no rows.  Further columns are not read.  Ids are whole numbers, which their order needs; others
+are refused by the cast.
 """
 
 from __future__ import annotations

@@ -1,11 +1,10 @@
 """Toxicity by a weighted finite-state grammar that scores matched clauses.
 
 An Aho-Corasick automaton finds the lexicon's insults and threats; only clauses that hold one are read further.
-A clause's words become classes (insult, threat, target, negator, reporting word, quote mark, other), and three
-transducers are composed over them: *reported speech* (what follows a reporting word, or stands in quotes),
-*negation* (the next few words after a negator) and *target* (the next few words after a person, in either
-direction).  Each turns the marks of insults and threats; the composed transducer gives each match of a clause
-its kind, and each kind has a weight.  A document's score is the logistic of the weighted, log-damped
+A clause's words become classes (insult, threat, target, negator, reporting word, quote mark, other), and five
+transducers are composed over them: *insult* and *threat* (which mark a match), *reported speech* (what follows a reporting
+word, or stands in quotes), *negation* (the next few words after a negator) and *target* (the next few words after a person, in
+either direction).  The marks that the composed transducer gives a match are its kind, and each kind has a weight.  A document's score is the logistic of the weighted, log-damped
 surprise of its matches.
 
 Lexicon: short word lists of four languages, and entries learned from labelled rows.  Words and word beginnings that
@@ -19,7 +18,8 @@ Scale: the lexicon is bounded; scoring is one narrow pass over whole texts.
 
 Edge cases: a null or empty text has no match and gets the score of one; a document with several labels is
 toxic if any says so; null labels are ignored.  Without labelled rows the word lists and the grammar's weights stand.  Repeated rows get
-equal scores.  An empty table gives no rows.
+equal scores.  An empty table gives no rows.  Further columns pass through; very long texts are read whole, and only the clauses that
+hold a match become words.
 """
 
 from __future__ import annotations
@@ -53,8 +53,8 @@ LEAST_SHARES = (0.9, 0.2)
 LISTED_WORDS, LISTED_MATCHES = 50_000, 0.5
 THRESHOLD = 0.7
 
-#: Classes of words that the transducers read.  An insult or threat is (class, reported, negated, targeted).
-OTHER, TARGET, NEG, REPORT, QUOTE = range(5)
+#: Classes of words that the transducers read.
+OTHER, TARGET, NEG, REPORT, QUOTE, INSULT, THREAT = CLASSES = range(7)
 WORD = re.compile(r"[\w']+|[.!?;:\n|]|[\"“”«»]")
 CLAUSE_END = frozenset(".!?;:\n|")
 QUOTES = frozenset("\"“”«»")
@@ -73,14 +73,19 @@ class Transducer:
     @classmethod
     def after(cls, trigger: int, reach: int, bit: int) -> Transducer:
         """Marks the ``reach`` words that follow a trigger."""
-        return cls(0, {(s, c): (reach, 0) if c == trigger else (max(0, s - 1), bit if s else 0) for s in range(reach + 1) for c in range(5)})
+        return cls(0, {(s, c): (reach, 0) if c == trigger else (max(0, s - 1), bit if s else 0) for s in range(reach + 1) for c in CLASSES})
+
+    @classmethod
+    def at(cls, match: int, bit: int) -> Transducer:
+        """Marks the words of a class."""
+        return cls(0, {(0, c): (0, bit if c == match else 0) for c in CLASSES})
 
     @classmethod
     def reported(cls, bit: int) -> Transducer:
         """Marks the rest of a clause after a reporting word, and what stands between quote marks.  States: open, told, quoted, both."""
         arcs = {}
         for s in range(4):
-            for c in range(5):
+            for c in CLASSES:
                 to = s | 1 if c == REPORT else s ^ 2 if c == QUOTE else s
                 arcs[s, c] = (to, bit if s else 0)
         return cls(0, arcs)
@@ -90,7 +95,7 @@ class Transducer:
         names, arcs, todo = {(self.start, other.start): 0}, {}, [(self.start, other.start)]
         while todo:
             pair = todo.pop()
-            for c in range(5):
+            for c in CLASSES:
                 (a, x), (b, y) = self.arcs[pair[0], c], other.arcs[pair[1], c]
                 if (a, b) not in names:
                     names[a, b] = len(names)
@@ -106,11 +111,19 @@ class Transducer:
         return out
 
 
-REPORTED, NEGATED, TARGETED = 1, 2, 4
-FORWARD = Transducer.reported(REPORTED).compose(Transducer.after(NEG, REACH_NEG, NEGATED)).compose(Transducer.after(TARGET, REACH_TARGET, TARGETED))
+REPORTED, NEGATED, TARGETED, INSULTING, THREATENING = 1, 2, 4, 8, 16
+MATCH = Transducer.at(INSULT, INSULTING).compose(Transducer.at(THREAT, THREATENING))
+FORWARD = MATCH.compose(Transducer.reported(REPORTED)).compose(Transducer.after(NEG, REACH_NEG, NEGATED)).compose(Transducer.after(TARGET, REACH_TARGET, TARGETED))
 BACKWARD = Transducer.after(TARGET, REACH_TARGET, TARGETED)
 
 
+def kind_of(mark: int) -> int | None:
+    """The kind of a match by its marks; None if it is none."""
+    if not mark & (INSULTING | THREATENING):
+        return None
+    return (4 if mark & THREATENING else 0) + (3 if mark & REPORTED else 2 if mark & NEGATED else 1 if mark & TARGETED else 0)
+
+
 @dataclass
 class Grammar:
     """entries: (text, whole word only, threat, matches that a clean text has by chance, a word)."""
@@ -163,15 +176,12 @@ class Scorer:
         counts: dict[tuple[int, int], int] = defaultdict(int)
         for start, end in self.clauses(low, sorted(found)):
             tokens = list(WORD.finditer(low, start, end))
-            classes = [QUOTE if m[0] in QUOTES else self.classes.get(m[0], OTHER) for m in tokens]
-            marks = FORWARD.run(classes)
+            entry = [found.get(m.start()) for m in tokens]
+            classes = [(THREAT if self.grammar.entries[i][2] else INSULT) if i is not None else QUOTE if m[0] in QUOTES else self.classes.get(m[0], OTHER) for m, i in zip(tokens, entry, strict=True)]
             back = BACKWARD.run(classes[::-1])[::-1]
-            for m, mark, other in zip(tokens, marks, back, strict=True):
-                i = found.get(m.start())
-                if i is not None:
-                    mark |= other
-                    kind = 3 if mark & REPORTED else 2 if mark & NEGATED else 1 if mark & TARGETED else 0
-                    counts[i, kind + 4 * self.grammar.entries[i][2]] += 1
+            for i, mark, other in zip(entry, FORWARD.run(classes), back, strict=True):
+                if (kind := kind_of(mark | other)) is not None:
+                    counts[i, kind] += 1
         n = max(1, len(low.split()))
         for (i, kind), k in counts.items():
             out[kind] += surprise(k, self.grammar.entries[i][3] * n)

@@ -304,6 +304,72 @@ def test_fingerprint_query(spark, monkeypatch, per_range):
             assert got[i]["near_next"] == op5_fingerprint.likeness(brute_signature(t), brute_signature(nxt))
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M64
+    return x ^ (x >> 31)
+
+
+def plain_signature(text):
+    """Order MinHash by its definition, in whole numbers and dictionaries: 64 slots, two occurrence-numbered 8-mers each, in text order."""
+    p1, p2, p3, p4 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93
+    c = [ord(x) for x in text]
+    if not c:
+        return [0] * 64
+    if len(c) < 8:
+        one = len(c)
+        for x in c:
+            one = plain_mix((one * p1 + x) & M64)
+        mers = [one]
+    else:
+        pair = lambda a, b: (a * p1 + b) & M64
+        four = lambda i: (pair(c[i], c[i + 1]) * p2 + pair(c[i + 2], c[i + 3])) & M64
+        mers = [plain_mix((four(i) * p3 + four(i + 4)) & M64) for i in range(len(c) - 7)]
+    low = (1 << 64) - (1 << 24)
+    seen, slots = {}, {}
+    for place, m in enumerate(mers):
+        m &= low
+        number = seen.get(m, 0)
+        seen[m] = number + 1
+        name = plain_mix((m + number * p4) & M64) & low
+        slots.setdefault(name >> 58, []).append((name, place))
+    values = {}
+    for slot, own in slots.items():
+        chosen = [name for name, _ in sorted(sorted(own)[:2], key=lambda x: x[1])]
+        v = 0
+        for name in (chosen + [0])[:2]:
+            v = plain_mix((v * p2 + name) & M64)
+        values[slot] = v
+    out = []
+    for s in range(64):
+        far = next(d for d in range(64) if (s + d) % 64 in values)
+        v = values[(s + far) % 64]
+        out.append((plain_mix((v + far * p3) & M64) if far else v) % 65535 + 1)
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("abñ日 "), max_size=120))
+def test_fingerprints_against_plain_numbers(text):
+    assert brute_signature(text).tolist() == plain_signature(text)
+
+
+def test_long_fingerprints_against_plain_numbers():
+    r = np.random.default_rng(15)
+    for n in (1000, 20_000):
+        text = "".join(r.choice(list("abcdefgh "), n))
+        assert brute_signature(text).tolist() == plain_signature(text)
+
+
+def test_very_long_urls(spark):
+    pages = spark.createDataFrame([(1, "http://a.example.org/en/1" + "x" * 500_000), (2, "http://" + "h" * 100_000 + ".com/de/")], "page_id long, url string")
+    got = {r["page_id"]: r for r in op10_url_filter.filter_urls(pages, spark.createDataFrame([], "key string")).collect()}
+    assert (got[1]["rule"], len(got[1]["path"]), got[2]["rule"]) == ("example.org/en/1", 500_005, "com/de/")
+
+
 def test_fingerprints_of_odd_rows(spark):
     out = op5_fingerprint.compare_edited(op5_fingerprint.dealt_with_next(docs(spark))).collect()
     assert len(out) == len(ODD) and sum(r["doc_id"] is None for r in out) == 1

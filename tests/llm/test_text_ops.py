@@ -304,6 +304,76 @@ def test_toxicity_grammar(spark):
     assert op9_toxicity.score_toxicity(frame.limit(0), op9_toxicity.train([])).count() == 0
 
 
+def brute_kinds(clause, entries):
+    """Kinds of a clause's matches by plain loops over its words."""
+    words = re.findall(r"[\w']+|[\"“”«»]", clause.lower())
+    group = lambda w: "t" if w in op9_toxicity.TARGETS else "n" if w in op9_toxicity.NEGATORS else "r" if w in op9_toxicity.REPORTERS else "q" if w in "\"“”«»" else ""
+    match = [next((i for i, e in enumerate(entries) if w == e[0] or not e[1] and w.startswith(e[0])), None) for w in words]
+    groups = ["" if i is not None else group(w) for w, i in zip(words, match, strict=True)]
+    out = []
+    for at, i in enumerate(match):
+        if i is None:
+            continue
+        told = "r" in groups[:at] or groups[:at].count("q") % 2 == 1
+        # a trigger reaches so many words; another one starts anew
+        near = lambda g, reach, before: any(x == g for x in (groups[max(0, at - reach) : at] if before else groups[at + 1 : at + 1 + reach]))  # noqa: B023, E731
+        kind = 3 if told else 2 if near("n", 2, True) else 1 if near("t", 4, True) or near("t", 4, False) else 0
+        out.append(kind + 4 * entries[i][2])
+    return sorted(out)
+
+
+def test_toxicity_scores_against_brute_force():
+    """Kinds, surprise and score of texts of few words, from the definitions."""
+    r = np.random.default_rng(14)
+    entries = [("idiot", True, False, 1e-4), ("kill", True, True, 1e-3), ("scum", False, False, 2e-5)]
+    grammar = op9_toxicity.Grammar(entries, (2.0, 2.5, 0.2, 0.4, 0.3, 2.4, 0.1, 0.2), -3.5)
+    scorer = op9_toxicity.Scorer(grammar)
+    pool = ["idiot", "kill", "scum", "scumbags", "you", "he", "not", "never", "said", '"', "the", "house", "idiotic", "Today", "ÉTÉ"]
+    for _ in range(300):
+        clauses = [" ".join(r.choice(pool, r.integers(1, 12))) for _ in range(r.integers(1, 5))]
+        text = ". ".join(clauses)
+        counts = Counter()
+        for c in clauses:
+            for i, e in enumerate(entries):
+                for kind, n in Counter(brute_kinds(c, [("", True, False, 1)] * i + [e])).items():
+                    counts[i, kind] += n
+        n = max(1, len(text.lower().split()))
+        total = Counter()
+        for (i, kind), k in counts.items():
+            expected = entries[i][3] * n
+            total[kind] += k * math.log(k / expected) - k + expected if k > expected else 0
+        z = -3.5 + sum(math.log2(1 + v) * grammar.weights[kind] for kind, v in total.items())
+        assert math.isclose(scorer.score(text), 1 / (1 + math.exp(-z)), rel_tol=1e-9), text
+
+
+def test_columns_of_any_name_and_long_texts(spark):
+    """Names that operators use inside, in several blocks; a text of 300,000 words."""
+    item = " ".join(f"w{i}" for i in range(15))
+    bench = spark.createDataFrame([(1, item), (2, "zz yy"), (3, "qq")], "item_id long, text string")
+    frame = spark.createDataFrame([(1, f"a {item} b", 5, "x", "y"), (2, "n " * 300_000 + item, 6, "x", "y"), (2, "zz yy", 7, None, None), (2, "zz yy", 7, None, None)], "doc_id long, text string, n_hit int, __words string, __items string")
+    for limit in (10, 1 << 20):
+        out = op1_decontaminate.find_spans(frame, bench, limit=limit).collect()
+        assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["__words"]) for r in out if r["n_words"] > 2) == [(1, 17, 15, "x"), (2, 300_015, 15, "x")]
+        assert [(r["n_hit"], r["item_ids"], r["__items"]) for r in out if r["n_words"] == 2] == [(2, ["2"], None)] * 2
+    near = frame.select("doc_id", "text", F.lit(1).alias("__id"), F.lit("k").alias("key"))
+    assert {r["doc_id"] for r in op3_near_dedup.deduplicate(near).collect()} == {1, 2} and op3_near_dedup.deduplicate(near).columns == ["doc_id", "text", "__id", "key"]
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0)], "doc_id long, quality int")
+    own = frame.select("doc_id", "text", F.lit("en").alias("lang"), F.lit(1).alias("perplexity"), F.lit(2).alias("__trusted"))
+    assert op4_quality.judge_quality(own, labels).count() == 4
+    tox = op9_toxicity.score_toxicity(frame.withColumn("toxicity", F.lit(9)), op9_toxicity.train([])).collect()
+    assert len(tox) == 4 and tox[0]["__words"] == "x" and len({r["toxicity"] for r in tox if r["n_hit"] == 7}) == 1
+
+
+def test_large_id_lists_are_shuffled(spark, monkeypatch):
+    """Past the broadcast limits of near duplicates and quality, results are the same."""
+    rows = corpus(5, 120)
+    labels = spark.createDataFrame([(i, 1) for i, _ in rows[::2]], "doc_id long, quality int")
+    want = [sorted(tuple(r) for r in op3_near_dedup.deduplicate(docs(spark, rows), n=4).collect()), sorted(map(str, op4_quality.judge_quality(docs(spark, rows), labels).collect()))]
+    monkeypatch.setattr(op3_near_dedup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(op4_quality, "BROADCAST_IDS", 0)
+    assert [sorted(tuple(r) for r in op3_near_dedup.deduplicate(docs(spark, rows), n=4).collect()), sorted(map(str, op4_quality.judge_quality(docs(spark, rows), labels).collect()))] == want
+
+
 def test_transducers_compose():
     neg, target = op9_toxicity.Transducer.after(op9_toxicity.NEG, 2, 2), op9_toxicity.Transducer.after(op9_toxicity.TARGET, 4, 4)
     word = [0, 2, 0, 1, 0, 0, 0, 0, 0]
