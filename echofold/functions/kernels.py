@@ -99,21 +99,24 @@ def band_keys(signatures: list[bytes | None], n_bands: int = C.N_BANDS, width: i
 
 
 class BandProbe:
-    """Signatures as rows of bytes, found by their bands' keys (modulo ``buckets``, if given)."""
+    """Signatures as rows of bytes, found by their bands' keys (modulo ``buckets``, if given).  Takes 400 bytes a signature."""
 
     SLOT_BITS, PAIRS = 16, 1 << 17
 
     def __init__(self, hashes: np.ndarray, buckets: int | None = None):
         self.hashes, self.buckets = hashes, buckets
         self.keys = self._keys(hashes)
-        self.order = np.argsort(self.keys, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.keys, self.order, 0)
+        self.order = np.empty((C.N_BANDS, len(hashes)), np.int32)
+        self.sorted = np.empty((C.N_BANDS, len(hashes)), np.uint32)
+        for band in range(C.N_BANDS):
+            self.order[band] = np.argsort(self.keys[:, band], kind="stable")
+            self.sorted[band] = self.keys[self.order[band], band]
         self.known = np.zeros((C.N_BANDS, 1 << self.SLOT_BITS), bool)
         self.known[np.arange(C.N_BANDS), self._slot(self.keys)] = True
 
     def _keys(self, hashes: np.ndarray) -> np.ndarray:
-        keys = key_rows(hashes)
-        return keys if self.buckets is None else keys % self.buckets
+        keys = key_rows(hashes).astype(np.uint32)
+        return keys if self.buckets is None else (keys % self.buckets).astype(np.uint32)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -125,13 +128,13 @@ class BandProbe:
         maybe = self.known[np.arange(C.N_BANDS), self._slot(keys)]
         for band in np.flatnonzero(maybe.any(0)):
             rows = np.flatnonzero(maybe[:, band])
-            low, high = (np.searchsorted(self.sorted[:, band], keys[rows, band], side) for side in ("left", "right"))
+            low, high = (np.searchsorted(self.sorted[band], keys[rows, band], side) for side in ("left", "right"))
             rows, low, n = rows[high > low], low[high > low], (high - low)[high > low]
             ends = np.cumsum(n)
             for start in range(0, int(ends[-1]) if len(ends) else 0, self.PAIRS):
                 i = np.arange(start, min(start + self.PAIRS, int(ends[-1])))
                 at = np.searchsorted(ends, i, "right")
-                row, own = rows[at], self.order[low[at] + i - (ends[at] - n[at]), band]
+                row, own = rows[at], self.order[band, low[at] + i - (ends[at] - n[at])]
                 same = keys[row] == self.keys[own]
                 first = same.argmax(1) == band
                 row, own = row[first], own[first]

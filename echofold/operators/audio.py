@@ -84,5 +84,33 @@ def fingerprint_samples(series: DataFrame) -> DataFrame:
     return series.select("series_id", "samples").mapInPandas(run, "series_id string, sig_idx int, image_idx int, minhash binary")
 
 
+def spectral_images(series: DataFrame) -> DataFrame:
+    """(series_id, image_idx, image) of (series_id, samples): decimated and normalised samples to images of 128 frames of 32 bins, frame by frame."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, x in zip(b["series_id"], b["samples"], strict=True):
+                found = kernels.images(kernels.frame_bins(np.asarray([] if x is None else x, np.float32)))
+                for at in range(0, len(found), 64):
+                    part = found[at : at + 64]
+                    yield pd.DataFrame({"series_id": str(i), "image_idx": np.arange(at, at + len(part)), "image": list(part.reshape(len(part), -1))})
+
+    return series.select("series_id", "samples").mapInPandas(run, "series_id string, image_idx int, image array<float>")
+
+
+def raw_fingerprints(images: DataFrame) -> DataFrame:
+    """(series_id, image_idx, bits, is_silence) of ``spectral_images``: the set bits of an image's largest wavelets, in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 64):
+                part = b.iloc[at : at + 64]
+                x = np.stack([np.asarray(v, np.float32) for v in part["image"]]).reshape(-1, C.IMAGE_WIDTH, C.N_BINS)
+                bits, silent = kernels.top_bits(kernels.haar_2d(x))
+                yield pd.DataFrame({"series_id": part["series_id"].to_numpy(), "image_idx": part["image_idx"].to_numpy(), "bits": [np.sort(v).astype(np.int32) for v in bits], "is_silence": silent})
+
+    return images.select("series_id", "image_idx", "image").mapInPandas(run, "series_id string, image_idx int, bits array<int>, is_silence boolean")
+
+
 def as_queries(signatures: DataFrame, id_col: str = "series_id") -> DataFrame:
     return signatures.select(F.col(id_col).alias("query_id"), F.col("sig_idx").alias("query_sig"), "minhash")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -35,3 +36,10 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows, from files in the shared folder: what is read several times is computed once, and a lost executor loses nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    """A path's file system and its place there."""
+    if uri.startswith("file:/"):
+        uri = "file:///" + uri.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)

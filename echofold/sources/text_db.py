@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_LINE, DIGITS = 1022, 200
+#: Folders of appended databases; sorts after the names of Spark's part files.
+LATER = "then-"
 
 
 class DatabaseError(ValueError):
@@ -45,7 +47,7 @@ def read_text_database(spark: SparkSession, path: str, permissive: bool = False)
 
     A malformed file raises; with ``permissive`` it gives no entries.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -79,5 +81,17 @@ def database_text(entries: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def write_text_database(entries: DataFrame, signatures: DataFrame, path: str, mode: str = "error") -> None:
-    """Entries in the order of their ids, in files whose names sort in that order.  ``mode='append'`` joins databases."""
+    """Entries in the order of their ids, in files whose names sort in that order.
+
+    ``mode='append'`` joins databases: each further one goes to a numbered folder that sorts after all that is there, so that the
+    positions of entries, which are their ids when read back, stay as they are.
+    """
+    spark = entries.sparkSession
+    if mode == "append":
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            names = [x.getPath().getName() for x in fs.listStatus(at)]
+            number = 1 + max([0, *(int(x.removeprefix(LATER)) for x in names if x.startswith(LATER))])
+            path, mode = f"{path}/{LATER}{number:09d}", "error"
     database_text(entries, signatures).repartitionByRange("entry_id").sortWithinPartitions("entry_id").select("value").write.mode(mode).text(path)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -14,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from echofold.functions import constants as C
 from echofold.functions import kernels
 from echofold.operators import search as S
-from echofold.session import written
+from echofold.session import open_fs, shared_dir, written
 
 RATE = 4 * C.SAMPLE_RATE
 WINDOWS = "stream_id string, window_no long, start_byte long, n_bytes long, signatures array<binary>"
@@ -25,20 +27,18 @@ class LocalIndex:
     """An index in memory, for searches inside a processor: the same rules as ``operators.search``."""
 
     def __init__(self, entry_ids: np.ndarray, hashes: np.ndarray):
-        self.entry_ids, self.hashes = entry_ids, hashes
-        self.keys = hashes.reshape(len(hashes), C.N_BANDS, C.BAND_BYTES).copy().view(">u4")[:, :, 0] if len(hashes) else np.zeros((0, C.N_BANDS), ">u4")
+        self.entry_ids, self.probe = entry_ids, kernels.BandProbe(hashes)
 
     def search(self, queries: list[bytes]) -> tuple[int, float, int] | None:
         total: dict[int, list[int]] = {}
-        for q in queries:
-            h = np.frombuffer(q, np.uint8)
-            shared = (self.keys == h.view(">u4")[None, :]).sum(1) >= C.MIN_BANDS
-            at = np.flatnonzero(shared)
-            score = (self.hashes[at] == h).sum(1)
-            for e, s in zip(self.entry_ids[at][score >= C.MIN_SCORE].tolist(), score[score >= C.MIN_SCORE].tolist(), strict=True):
+        own = kernels.byte_rows(queries, C.N_PERMUTATIONS)
+        for _, at, n_bands, score in self.probe.pairs(own):
+            good = (n_bands >= C.MIN_BANDS) & (score >= C.MIN_SCORE)
+            ids, back = np.unique(self.entry_ids[at[good]], return_inverse=True)
+            for e, s, n in zip(ids.tolist(), np.bincount(back, score[good], len(ids)).tolist(), np.bincount(back, minlength=len(ids)).tolist(), strict=True):
                 t = total.setdefault(e, [0, 0])
                 t[0] += s
-                t[1] += 1
+                t[1] += n
         scored = {e: (s / n, n) for e, (s, n) in total.items()}
 
         def beats(a: tuple[float, int], b: tuple[float, int]) -> bool:
@@ -56,6 +56,32 @@ class LocalIndex:
         return best
 
 
+    def store(self, spark: SparkSession) -> str:
+        """A file in the shared folder that ``loaded`` reads: Spark doesn't ship large objects to streaming processors."""
+        at = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}.arrow"
+        hashes = self.probe.hashes
+        rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(C.N_PERMUTATIONS), len(hashes), [None, pa.py_buffer(np.ascontiguousarray(hashes))])
+        fs, path = open_fs(at)
+        table = pa.table({"entry_id": pa.array(self.entry_ids, pa.int64()), "minhash": rows})
+        with fs.open_output_stream(path) as out, pa.ipc.new_file(out, table.schema) as f:
+            f.write_table(table)
+        return at
+
+
+#: The index that a worker holds, by its file: read once for all its tasks.
+_HELD: dict[str, LocalIndex] = {}
+
+
+def loaded(at: str) -> LocalIndex:
+    if at not in _HELD:
+        fs, path = open_fs(at)
+        with fs.open_input_file(path) as f:
+            table = pa.ipc.open_file(f).read_all()
+        _HELD.clear()
+        _HELD[at] = LocalIndex(table["entry_id"].to_numpy(), kernels.byte_rows(table["minhash"].to_pylist(), C.N_PERMUTATIONS))
+    return _HELD[at]
+
+
 class Windows(StatefulProcessor):
     """Keeps each stream's last seconds of PCM and emits its windows with their signatures."""
 
@@ -98,23 +124,23 @@ class Windows(StatefulProcessor):
 
 
 class Identify(Windows):
-    """Searches each window in ``index``.  On a new match the buffer is cleared with the next chunk, if ``feedback``."""
+    """Searches each window in the index of file ``at``.  On a new match the buffer is cleared with the next chunk, if ``feedback``."""
 
     columns = {"entry_id": "Int32", "average": "float64", "n_matches": "Int64", "is_new": "bool"}
 
-    def __init__(self, index: LocalIndex, feedback: bool = True, signed: bool = True):
+    def __init__(self, at: str, feedback: bool = True, signed: bool = True):
         super().__init__(signed)
-        self.index, self.feedback = index, feedback
+        self.at, self.feedback = at, feedback
 
     def found(self, signatures: list[bytes], last: int) -> tuple[tuple, int, bool]:
-        best = self.index.search(signatures)
+        best = loaded(self.at).search(signatures)
         if best is None:
             return (None, None, None, False), last, False
         return (*best, best[0] != last), best[0], best[0] != last and self.feedback
 
 
-def local_index(signatures: DataFrame, limit: int = 4_000_000) -> LocalIndex:
-    """The index as arrays (100 bytes a signature), where it has at most ``limit`` signatures; larger ones are refused: ``search_batches`` takes those."""
+def local_index(signatures: DataFrame, limit: int = 1_000_000) -> LocalIndex:
+    """The index as arrays (400 bytes a signature), where it has at most ``limit`` signatures; larger ones are refused: ``search_batches`` takes those."""
     n = signatures.count()
     if n > limit:
         raise ValueError(f"{n} signatures are too many for a processor's memory, which takes {limit}; search_batches searches larger indexes")
@@ -125,7 +151,7 @@ def local_index(signatures: DataFrame, limit: int = 4_000_000) -> LocalIndex:
 
 def identify_stream(chunks: DataFrame, index: LocalIndex, feedback: bool = True, signed: bool = True) -> DataFrame:
     """Windows and their matches of a stream of (stream_id, seq, pcm).  Needs the RocksDB state store."""
-    return chunks.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=Identify(index, feedback, signed), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+    return chunks.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=Identify(index.store(chunks.sparkSession), feedback, signed), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
 
 
 def replay_windows(chunks: DataFrame, rate: int = RATE, low: int = C.STREAM_MIN_SECONDS, high: int = C.STREAM_MAX_SECONDS) -> DataFrame:

@@ -86,6 +86,28 @@ def test_text_database_round_trip(spark, tmp_path):
     assert ("a.wav", "A", "") in names and ("b.wav", "", "T") in names
 
 
+def test_appended_entries_keep_their_positions(spark, tmp_path):
+    for k in range(4):
+        e = spark.createDataFrame([(i, f"{k}-{i}.wav", None, None, None) for i in range(7)], "entry_id int, filename string, artist string, track_title string, album_title string")
+        s = spark.createDataFrame([(i, 0, bytes([k, i] * 50)) for i in range(7)], "entry_id int, sig_idx int, minhash binary")
+        text_db.write_text_database(e, s, str(tmp_path / "db"), "append")
+        got_e, got_s = text_db.read_text_database(spark, str(tmp_path / "db"))
+        assert [r["filename"] for r in got_e.orderBy("entry_id").collect()] == [f"{j}-{i}.wav" for j in range(k + 1) for i in range(7)]
+    assert {r["entry_id"]: bytes(r["minhash"])[:2] for r in got_s.collect()} == {7 * k + i: bytes([k, i]) for k in range(4) for i in range(7)}
+
+
+def test_images_and_raw_fingerprints_make_the_signatures(spark):
+    t = np.arange(13_000) / 5512.5
+    x = audio.kernels.rms_normalize(sum(np.sin(2 * np.pi * f * t * (1 + 0.1 * np.sin(t))) for f in (400, 900, 1500)).astype(np.float32))
+    series = spark.createDataFrame([("a", x.tolist()), ("quiet", [0.0] * 11_000), ("short", [1.0] * 50), ("none", None)], "series_id string, samples array<float>")
+    images = audio.spectral_images(series)
+    raw = audio.raw_fingerprints(images).collect()
+    assert {(r["series_id"], r["is_silence"]) for r in raw} == {("a", False), ("quiet", True)}
+    assert len(images.filter("series_id = 'a'").first()["image"]) == 128 * 32 and all(1 <= len(r["bits"]) <= 200 and r["bits"] == sorted(r["bits"]) for r in raw if r["series_id"] == "a")
+    own = {r["image_idx"]: audio.kernels.minhash(np.array(r["bits"])).tobytes() for r in raw if not r["is_silence"]}
+    assert own == {r["image_idx"]: bytes(r["minhash"]) for r in audio.fingerprint_samples(series.filter("samples is not null")).collect()}
+
+
 @pytest.mark.parametrize("text", ["a\nb\nc\nd\n1\n" + "0" * 199 + "\n", "a\nb\nc\nd\n2\n" + "0" * 200 + "\n", "a\nb\nc\nd\n1\n" + "0" * 200, "a\nb\nc\nd\nx\n", "a\nb\nc\n", "x" * 1100 + "\n\n\n\n0\n", "a\nb\nc\nd\n1\n" + "g" * 200 + "\n"])
 def test_malformed_database(spark, tmp_path, text):
     with pytest.raises(text_db.DatabaseError):

@@ -14,7 +14,9 @@ def test_stream_is_identified(spark, tmp_path):
     songs = spark.createDataFrame([(n, files[n]) for n in ("song0.wav", "song1.wav")], "path string, content binary")
     entries, signatures = audio.to_index(audio.fingerprint_table(songs))
     names = {r["entry_id"]: r["filename"] for r in entries.collect()}
-    index = I.local_index(signatures)
+    r = np.random.default_rng(1)  # an index of several MB, as real ones are
+    other = spark.createDataFrame([(100 + i, i, h.tobytes()) for i, h in enumerate(r.integers(0, 255, (30_000, 100), np.uint8))], "entry_id int, sig_idx int, minhash binary")
+    index = I.local_index(signatures.select("entry_id", "sig_idx", "minhash").unionAll(other))
     pcm = b""
     for n in ("song1.wav", "song0.wav"):
         w = wav.parse_wave(files[n])
