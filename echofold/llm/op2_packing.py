@@ -5,7 +5,9 @@ documents (at most ``max_len`` rows, whatever the input) goes to a dynamic progr
 boundaries with the least total padding.  A piece goes to the smallest boundary that holds it; a batch
 takes as many pieces of one bucket as its boundary times their number stays within ``token_budget``.
 
-Scale: lengths are found in one narrow pass; after it only (id, piece, length) moves.  A bucket may hold a
+Tokens are those of a vocabulary whose path is a parameter; without one they are parted by white space.
+
+Scale: lengths are found in one narrow pass, in which a worker counts each word's tokens once; after it only (id, piece, length) moves.  A bucket may hold a
 third of all pieces, so pieces are numbered in shards by a hash: a count for each (bucket, shard), their
 running sum (at most ``MAX_SHARDS`` times ``n_buckets`` rows, which bounds the broadcast), and a number inside
 each shard.  Batches run over shard borders, so a bucket has one batch at most that isn't full.
@@ -18,8 +20,9 @@ apart by a row number.  Fewer lengths than buckets give as many buckets.  An emp
 from __future__ import annotations
 
 import base64
-import importlib.util
+import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,24 +31,77 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echofold.llm.common import cut, table
+from echofold.session import open_fs
 
 MAX_LEN, N_BUCKETS, TOKEN_BUDGET = 2048, 8, 32768
 SHARD_ROWS, MAX_SHARDS = 2000, 8192
 
 
+#: A rank file of a public vocabulary, and the pattern that parts text before its merges.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Words whose counts a worker keeps at most, of each of two generations: about 40 MB in all.
+KEPT_WORDS = 150_000
+#: A space that is not between two other characters than white space.
+ODD_SPACE = re.compile(r"^ |\s | \s| $")
+
+
+class TokenCounter(dict):
+    """Counts of a vocabulary's tokens, kept by word.
+
+    Where each space stands between two words, a token never spans one: the text's count is the sum of those of its words, each with the space
+    before it.  Other texts are encoded whole.
+    """
+
+    def __init__(self, ranks: bytes):
+        import tiktoken
+
+        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
+        self.before: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        n = self.before.pop(word, None)
+        if n is None:
+            n = len(self.encoding.encode_ordinary(f" {word}"))
+        if len(self) >= KEPT_WORDS:  # words that come again are taken over from the generation before
+            self.before = dict(self)
+            self.clear()
+        self[word] = n
+        return n
+
+    def count(self, text: str) -> int:
+        if ODD_SPACE.search(text):
+            return len(self.encoding.encode_ordinary(text))
+        first, *others = text.split(" ")
+        return len(self.encoding.encode_ordinary(first)) + sum(map(self.__getitem__, others))
+
+
+#: A worker's counter, by the digest of its vocabulary: words are counted once for all its tasks.
+_HELD: dict[str, TokenCounter] = {}
+
+
+def _counter(ranks: bytes) -> TokenCounter:
+    key = hashlib.sha256(ranks).hexdigest()
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = TokenCounter(ranks)
+    return _HELD[key]
+
+
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """id, n_tokens of each row.  Tokens are parted by white space; with the path of a ``.tiktoken`` file, they are that vocabulary's."""
+    """id, n_tokens of each row.  With the path of a ``.tiktoken`` file, which the driver reads, tokens are that vocabulary's; else they are parted by white space."""
     df = docs.select(id_col, F.col(text_col).cast("binary").alias("__raw"))
+    held = None
+    if vocabulary:
+        fs, at = open_fs(vocabulary)
+        with fs.open_input_file(at) as f:
+            held = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary's size: about 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary:
-            import tiktoken
-
-            pattern = getattr(importlib.import_module("public_tokenizers"), "PATTERN", r"\S+|\s+") if importlib.util.find_spec("public_tokenizers") else r"\S+|\s+"
-            with open(vocabulary, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-            count = lambda t: len(enc.encode_ordinary(t.decode("utf-8", "replace")))
+        if held is not None:
+            counter = _counter(held.value)
+            count = lambda t: counter.count(t.decode("utf-8", "replace"))
         else:
             count = lambda t: len(t.split())
         for b in batches:
@@ -130,5 +186,6 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, **options) ->
     return pack(token_counts(docs, vocabulary=vocabulary), **options)
 
 
-def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+def op2_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = VOCABULARY) -> DataFrame:
+    """Every document's pieces, in tokens of a public vocabulary."""
+    return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary=vocabulary)

@@ -262,10 +262,21 @@ def test_packing(spark):
     assert sorted({x["bucket_len"] for x in out} - {0}) == op2_packing.best_boundaries(own, many, 4)
 
 
-def test_tokenizer_counts(spark):
+def test_tokenizer_counts(spark, monkeypatch):
+    """Counts kept by word equal those of whole texts."""
     tokenizers = pytest.importorskip("public_tokenizers")
-    out = op2_packing.token_counts(docs(spark, [(1, "hello world"), (2, None)]), vocabulary=tokenizers.path("byte_bpe_50k.tiktoken")).collect()
-    assert {r["doc_id"]: r["n_tokens"] for r in out} == {1: 2, 2: 0}
+    r = np.random.default_rng(16)
+    parts = ["the", " ", "  ", "\n", "\t", "don't", "x1", "42", "Ünï", "日本語", "!?", "\u00a0", "a" * 30, "\x1f", "\u2028", "'s"]
+    rows = [(i, "".join(r.choice(parts, r.integers(0, 25)))) for i in range(300)] + [(300 + i, " ".join(r.choice(["the", "house", "x1,", "日本", "don't\nstop"], 40))) for i in range(50)]
+    rows += [(900, None), (901, ""), (902, "hello world"), (903, "word " * 50_000)]
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        counter = op2_packing.TokenCounter(f.read())
+    assert op2_packing.PATTERN == tokenizers.PATTERN
+    want = {i: len(counter.encoding.encode_ordinary(t or "")) for i, t in rows}
+    assert {r["doc_id"]: r["n_tokens"] for r in op2_packing.token_counts(docs(spark, rows), vocabulary=path).collect()} == want
+    monkeypatch.setattr(op2_packing, "KEPT_WORDS", 3)
+    assert {i: counter.count(t or "") for i, t in rows} == want and len(counter) <= 3 and want[902] == 2
 
 
 def brute_signature(text):
