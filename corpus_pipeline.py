@@ -5,7 +5,8 @@ folder and reads again as the next stage's documents.  A stage judges all that t
 decisions take effect; all but the last return the columns of documents.
 
 Edge cases: as the operators' own.  Documents without a letter go with language ID; a null id passes every stage.  Labels and
-benchmark are read from ``sf_dir`` whatever documents are left.  Extra columns of documents pass through.
+benchmark are read from ``sf_dir`` whatever documents are left.  Extra columns of documents pass through.  Very long texts are judged whole
+by every stage.  The stages' files stay in the shared folder, as the result is read from the last ones.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8, which is the rule where no contract names other sizes."""
     own, columns = _carried(docs)
     return _back(op3_near_dedup.deduplicate(own), columns)
 
@@ -62,8 +63,8 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces of the documents in batches."""
-    return op2_packing.pack_documents(docs.select("doc_id", "text"))
+    """Places of all pieces of the documents in batches, in tokens of a public vocabulary."""
+    return op2_packing.pack_documents(docs.select("doc_id", "text"), vocabulary=op2_packing.VOCABULARY)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
