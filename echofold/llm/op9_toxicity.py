@@ -9,10 +9,12 @@ surprise of its matches.
 
 Lexicon: short word lists of four languages, and entries learned from labelled rows.  Words and word beginnings that
 are far more frequent in toxic documents are taken greedily, each for the documents that no entry before it
-explains, so that what merely surrounds insults isn't learned.  An entry keeps its rate in clean texts: matches count by
+explains, so that what merely surrounds insults isn't learned.  These are insults.  Of the toxic documents that none of them
+explains, words near a target are taken in the same way, against words near a target in other documents: these are threats, words
+that tell something only when they are aimed at someone.  An entry keeps its rate in clean texts: matches count by
 how much more there are than a clean text of that length has by chance.  Weights are a logistic regression that
 shrinks towards the grammar's own weights, so that kinds without evidence keep them.  Training takes a bounded sample:
-at most ``TOXIC_ROWS`` and ``OTHER_ROWS`` labelled rows of at most ``TRAIN_CHARS`` characters, by a hash of the id.
+at most ``TOXIC_ROWS`` and ``OTHER_ROWS`` of the labelled rows that have a text of at most ``TRAIN_CHARS`` characters, by a hash of the id.
 
 Scale: the lexicon is bounded; scoring is one narrow pass over whole texts.
 
@@ -27,7 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,6 +58,8 @@ THRESHOLD = 0.7
 #: Classes of words that the transducers read.
 OTHER, TARGET, NEG, REPORT, QUOTE, INSULT, THREAT = CLASSES = range(7)
 WORD = re.compile(r"[\w']+|[.!?;:\n|]|[\"“”«»]")
+PARTS, CLAUSES = re.compile(r"\w+"), re.compile(r"[.!?;:\n|]")
+TARGET_WORDS = frozenset(TARGETS)
 CLAUSE_END = frozenset(".!?;:\n|")
 QUOTES = frozenset("\"“”«»")
 #: Kinds of matches and the grammar's own weights for them.
@@ -207,19 +211,30 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def learn_entries(toxic: list[str], other: list[str]) -> list[tuple[str, bool, bool, float]]:
-    """Words and beginnings of words that tell toxic texts, found greedily, with their rates in clean texts.
+def aimed(low: str) -> list[str]:
+    """The words of a lower-cased text that stand within reach of a target, in either direction and in its clause."""
+    out = []
+    for clause in CLAUSES.split(low):
+        found = PARTS.findall(clause)
+        places = [i for i, w in enumerate(found) if w in TARGET_WORDS]
+        near = {j for i in places for j in range(max(0, i - REACH_TARGET), min(len(found), i + REACH_TARGET + 1))}
+        out += [found[j] for j in sorted(near) if found[j] not in TARGET_WORDS]
+    return out
+
+
+def learn_entries(toxic: list[str], other: list[str], words_of: Callable[[str], list[str]], beginnings: bool = True) -> tuple[list[tuple[str, bool, float]], set[int]]:
+    """Words and beginnings of words that tell toxic texts, found greedily: (text, whole word only, rate in clean texts); and the
+    toxic texts that hold one.
 
     A rate counts the words of those clean texts only that hold a word of the same first three letters: texts of
     the entry's own language, for the most part.
     """
-    parts = re.compile(r"\w+")
 
     def features(word: str) -> list[str]:
-        return [word + " ", *(word[:n] for n in PREFIXES if n <= len(word))]
+        return [word + " ", *(word[:n] for n in PREFIXES if beginnings and n <= len(word))]
 
     # one text's words at a time: all of them together would take many times the texts' size
-    bags = lambda texts: (_counted(parts.findall(t.lower())) for t in texts)
+    bags = lambda texts: (_counted(words_of(t.lower())) for t in texts)
     held: dict[str, int] = defaultdict(int)
     for bag, _ in bags(toxic):
         for f in {f for w in bag for f in features(w)}:
@@ -258,7 +273,7 @@ def learn_entries(toxic: list[str], other: list[str]) -> list[tuple[str, bool, b
                 open_[f] -= covered
                 if len(open_[f]) < MIN_DOCS:
                     del open_[f]
-    return [(f.rstrip(), f.endswith(" "), False, rate(f, 0)) for f in chosen]
+    return [(f.rstrip(), f.endswith(" "), rate(f, 0)) for f in chosen], set().union(*(holds[f] for f in chosen))
 
 
 def _counted(found: list[str]) -> tuple[dict[str, int], int]:
@@ -289,32 +304,39 @@ def train(rows: list[tuple[str, int]]) -> Grammar:
     """From (text, label) pairs in a fixed order; equal texts count once."""
     rows = list(dict.fromkeys(rows))
     toxic, other = [t for t, y in rows if y], [t for t, y in rows if not y]
-    learned = learn_entries(toxic, other) if toxic and other else []
-    listed = {w: (w, True, threat) for threat, ws in ((False, INSULTS), (True, THREATS)) for w in ws}
+    learned, threats = [], []
+    if toxic and other:
+        learned, told = learn_entries(toxic, other, PARTS.findall)
+        if len(rest := [t for i, t in enumerate(toxic) if i not in told]) >= MIN_DOCS:
+            threats = [w for w, _, _ in learn_entries(rest, other, aimed, beginnings=False)[0]]
+    listed = {w: (w, True, threat) for threat, ws in ((True, threats), (False, INSULTS), (True, THREATS)) for w in ws}
     seen = [{w: 0 for w in listed}, {w: 0 for w in listed}]
     total = [1, 1]
     for t, y in rows:
-        bag, n = _counted(re.findall(r"\w+", t.lower()))
+        bag, n = _counted(PARTS.findall(t.lower()))
         total[y] += n
         for w in bag.keys() & listed.keys():
             seen[y][w] += bag[w]
     # a listed insult that clean texts hold about as often as toxic ones tells nothing
     useful = lambda w: not seen[0][w] or seen[0][w] * total[1] <= 0.3 * seen[1][w] * total[0]
     kept = [(w, whole, threat, (seen[0][w] + LISTED_MATCHES) / (total[0] + LISTED_WORDS)) for w, whole, threat in listed.values() if threat or useful(w)]
-    grammar = Grammar(kept + [e for e in learned if e[0] not in listed])
+    grammar = Grammar(kept + [(w, whole, False, rate) for w, whole, rate in learned if w not in listed])
     return fit_weights(Scorer(grammar), [t for t, _ in rows], [y for _, y in rows]) if rows else grammar
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> list[tuple[str, int]]:
-    """A bounded sample of (text, label), by the smallest hashes of the ids."""
+    """A bounded sample of (text, label), by the smallest hashes of the ids among the rows that qualify."""
     own = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & (crc_mod(F.col(id_col), 3) != 1)).groupBy(id_col).agg(F.max("toxic").alias("__y"))
-    counts = {r["__y"]: r["count"] for r in own.groupBy("__y").count().collect()}
+    fit_ = docs.select(id_col, "text").filter(F.length("text") <= TRAIN_CHARS)
+    # ids and labels alone are shuffled
+    able = fit_.select(id_col).join(own, id_col).groupBy(id_col, "__y").count()
+    counts = {r["__y"]: r["n"] for r in able.groupBy("__y").agg(F.sum("count").alias("n")).collect()}
     share = F.lit(0.0)
     for y, most in ((0, OTHER_ROWS), (1, TOXIC_ROWS)):
         share = F.when(F.col("__y") == y, min(1.0, 1.2 * most / max(1, counts.get(y, 0)))).otherwise(share)
-    taken = own.withColumn("__at", spread(F.col(id_col), "toxicity")).filter(F.col("__at") < share)
     # about 1.2 * (OTHER_ROWS + TOXIC_ROWS) rows at most, whatever the input
-    found = docs.select(id_col, "text").join(F.broadcast(taken), id_col).filter(F.length("text") <= TRAIN_CHARS)
+    taken = able.withColumn("__at", spread(F.col(id_col), "toxicity")).filter(F.col("__at") < share)
+    found = fit_.join(F.broadcast(taken), id_col)
     rows = sorted((r["__y"], r["__at"], r["text"]) for r in found.select("__y", "__at", "text").collect())
     return [(t, 0) for y, _, t in rows if y == 0][:OTHER_ROWS] + [(t, 1) for y, _, t in rows if y == 1][:TOXIC_ROWS]
 

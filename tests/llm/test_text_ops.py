@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -386,3 +387,29 @@ def test_shared_helpers(spark):
     total = sum(math.comb(64, i) * 0.8**i * 0.2 ** (64 - i) for i in range(common.binomial_floor(64, 0.8, 1e-9)))
     assert total <= 1e-9
     assert hashlib.sha256(b"2,10"[:0]).hexdigest() == op1_decontaminate.items_digest([])
+
+
+def test_toxicity_learns_threats_that_are_aimed():
+    """A word that clean texts hold as often, but not near a target, becomes a threat."""
+    r = np.random.default_rng(21)
+    plain = "house river garden window mountain letter summer music silver paper".split()
+    some = lambda n: " ".join(r.choice(plain, n))
+    rows = [(f"{some(12)}. i will smack you {some(3)}.", 1) for _ in range(60)] + [(f"{some(12)}. waves smack the rocks {some(3)}.", 0) for _ in range(60)]
+    rows += [(f"{some(9)}. {some(4)} you {some(4)}. i will {some(4)}.", 0) for _ in range(120)]
+    grammar = op9_toxicity.train(rows)
+    assert [e[0] for e in grammar.entries if e[2] and e[0] not in op9_toxicity.THREATS] == ["smack"]
+    scorer = op9_toxicity.Scorer(grammar)
+    assert scorer.score("tomorrow i will smack you there") >= 0.7
+    assert all(scorer.score(t) < 0.7 for t in ("the waves smack the rocks", "nobody will smack you", 'he said "i will smack you"'))
+
+
+def test_toxicity_training_rows_are_chosen_among_those_that_qualify(spark, monkeypatch):
+    """Long toxic texts don't thin the short ones out; repeated rows and nulls do no harm."""
+    long = "x" * (op9_toxicity.TRAIN_CHARS + 1)
+    rows = [(i, long if i % 4 else f"short {i}") for i in range(400)] + [(0, "short 0"), (401, None), (None, "no id")]
+    frame = docs(spark, rows)
+    labels = spark.createDataFrame([(i, 1) for i in range(402)] + [(0, 0), (None, 1)], "doc_id long, toxic int")
+    able = [t for i, t in rows if i is not None and t and t != long and zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(t for t, _ in op9_toxicity.training_rows(frame, labels)) == sorted(able)
+    monkeypatch.setattr(op9_toxicity, "TOXIC_ROWS", 20)
+    assert len(op9_toxicity.training_rows(frame, labels)) == 20
