@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofold.llm.common import crc_mod, spread, table
+from echofold.llm.common import crc_mod, cut, spread, table
 
 INSULTS = """idiot idiots moron morons imbecile scum scumbag loser losers pathetic worthless disgusting stupid vermin
 crétin débile ordure salaud abruti minable idiote dummkopf arschloch abschaum versager trottel idiota imbécil
@@ -328,8 +328,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") ->
     """A bounded sample of (text, label), by the smallest hashes of the ids among the rows that qualify."""
     own = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & (crc_mod(F.col(id_col), 3) != 1)).groupBy(id_col).agg(F.max("toxic").alias("__y"))
     fit_ = docs.select(id_col, "text").filter(F.length("text") <= TRAIN_CHARS)
-    # ids and labels alone are shuffled
-    able = fit_.select(id_col).join(own, id_col).groupBy(id_col, "__y").count()
+    # ids and labels alone are shuffled, and written once for the two reads that follow
+    able = cut(fit_.select(id_col).join(own, id_col).groupBy(id_col, "__y").count())
     counts = {r["__y"]: r["n"] for r in able.groupBy("__y").agg(F.sum("count").alias("n")).collect()}
     share = F.lit(0.0)
     for y, most in ((0, OTHER_ROWS), (1, TOXIC_ROWS)):
