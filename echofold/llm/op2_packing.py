@@ -42,15 +42,19 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose counts a worker keeps at most, of each of two generations: about 40 MB in all.
 KEPT_WORDS = 150_000
-#: A space that is not between two other characters than white space.
+#: The longest word that is kept, and about how many characters of a text are parted at a time.
+KEPT_CHARS, PART_CHARS = 64, 1 << 16
+#: A space between two characters that are not white space: a token may begin there, but none spans it.
+CUT_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: A space that is not such a one.
 ODD_SPACE = re.compile(r"^ |\s | \s| $")
 
 
 class TokenCounter(dict):
     """Counts of a vocabulary's tokens, kept by word.
 
-    Where each space stands between two words, a token never spans one: the text's count is the sum of those of its words, each with the space
-    before it.  Other texts are encoded whole.
+    Where a space stands between two other characters than white space, no token spans it: the text's count is the sum of those of its pieces
+    between such spaces, each with the space before it.
     """
 
     def __init__(self, ranks: bytes):
@@ -64,6 +68,8 @@ class TokenCounter(dict):
         n = self.before.pop(word, None)
         if n is None:
             n = len(self.encoding.encode_ordinary(f" {word}"))
+        if len(word) > KEPT_CHARS:
+            return n
         if len(self) >= KEPT_WORDS:  # words that come again are taken over from the generation before
             self.before = dict(self)
             self.clear()
@@ -71,10 +77,17 @@ class TokenCounter(dict):
         return n
 
     def count(self, text: str) -> int:
-        if ODD_SPACE.search(text):
-            return len(self.encoding.encode_ordinary(text))
-        first, *others = text.split(" ")
-        return len(self.encoding.encode_ordinary(first)) + sum(map(self.__getitem__, others))
+        total, start, end = 0, 0, -1
+        while end < len(text):
+            place = CUT_SPACE.search(text, start + PART_CHARS)
+            end = place.start() if place else len(text)
+            part = text[start:end]
+            pieces = CUT_SPACE.split(part) if ODD_SPACE.search(part) else part.split(" ")
+            if not start:  # no space comes before the first piece
+                total += len(self.encoding.encode_ordinary(pieces.pop(0)))
+            total += sum(map(self.__getitem__, pieces))
+            start = end + 1
+        return total
 
 
 #: A worker's counter, by the digest of its vocabulary: words are counted once for all its tasks.

@@ -21,7 +21,7 @@ Further columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -146,13 +146,13 @@ def scorer(model: Model | None):
     size = max(1, min(BATCH, CELLS // len(model.vocabulary)))
     x = np.zeros((size, len(model.vocabulary)), np.float32)
 
-    def score(texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def score(texts: Sequence[str | None] | pa.Array) -> tuple[list[str], list[float]]:
         names, values = [], []
         for start in range(0, len(texts), size):
             part = texts[start : start + size]
             norm, filled = np.ones(len(part), np.float32), []
-            for i, t in enumerate(part):
-                codes = gram_codes(t or "", letters)
+            for i, t in enumerate(part):  # of an array, one text at a time becomes a Python object
+                codes = gram_codes((t.as_py() if isinstance(t, pa.Scalar) else t) or "", letters)
                 filled.append(places(codes, model.vocabulary))
                 x[i, filled[-1]] = 1
                 norm[i] = np.sqrt(len(codes))
@@ -229,7 +229,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(held.value)
         for b in batches:
-            got, values = score(b.column(names.index(text_col)).to_pylist())
+            got, values = score(b.column(names.index(text_col)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string()), pa.array(values, pa.float64())], names=[*names, "lang_pred", "score"])
 
     schema = type(df.schema)(list(df.schema)).add("lang_pred", "string").add("score", "double")

@@ -350,7 +350,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
         for b in batches:
-            values = [scorer.score(t) for t in b.column(names.index(text_col)).to_pylist()]
+            values = [scorer.score(t.as_py()) for t in b.column(names.index(text_col))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.float64())], names=[*names, "toxicity"])
 
     return df.mapInArrow(run, type(df.schema)(list(df.schema)).add("toxicity", "double"))
