@@ -40,8 +40,8 @@ SHARD_ROWS, MAX_SHARDS = 2000, 8192
 #: A rank file of a public vocabulary, and the pattern that parts text before its merges.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words whose counts a worker keeps at most, of each of two generations: about 40 MB in all.
-KEPT_WORDS = 150_000
+#: Words whose counts a worker keeps at most, of each of two generations: about 15 MB in all.
+KEPT_WORDS = 50_000
 #: The longest word that is kept, and about how many characters of a text are parted at a time.
 KEPT_CHARS, PART_CHARS = 64, 1 << 16
 #: A space between two characters that are not white space: a token may begin there, but none spans it.
