@@ -6,7 +6,8 @@ decisions take effect; all but the last return the columns of documents.
 
 Edge cases: as the operators' own.  Documents without a letter go with language ID; a null id passes every stage.  Labels and
 benchmark are read from ``sf_dir`` whatever documents are left.  Extra columns of documents pass through.  Very long texts are judged whole
-by every stage.  The stages' files stay in the shared folder, as the result is read from the last ones.
+by every stage.  Where the session has Spark's own number of rows for a batch to Python, it gets
+a smaller one, which changes no result.  The stages' files stay in the shared folder, as the result is read from the last ones.
 """
 
 from __future__ import annotations
@@ -23,10 +24,18 @@ from echofold.session import ship
 
 #: A document stays if its best language's score is at least this: below, every language says no.
 LANGUAGE_SCORE = 0.5
+#: Rows of the batches that go to Python workers, where the session has Spark's own number: five operators share an executor's memory.
+BATCH_ROWS, SPARK_ROWS = 2000, 10000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get(key := "spark.sql.execution.arrow.maxRecordsPerBatch")) == SPARK_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def _carried(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """``docs`` under names that no operator's own columns can clash with, but for those that operators read."""
+    _small_batches(docs.sparkSession)
     reads = {"doc_id", "text", "n_chars"}
     return docs.select(*(F.col(f"`{c}`").alias(c if c in reads else f"__doc_{c}") for c in docs.columns)), docs.columns
 
@@ -37,8 +46,8 @@ def _back(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language was told; the model is learned from the labelled rows that aren't held out."""
-    model = op6_language.fit(docs.select("doc_id", "text", "lang"))
     own, columns = _carried(docs)
+    model = op6_language.fit(docs.select("doc_id", "text", "lang"))
     found = op6_language.identify(own, model)
     return _back(found.filter((F.col("lang_pred") != op6_language.UND) & (F.col("score") >= LANGUAGE_SCORE)), columns)
 
@@ -64,6 +73,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces of the documents in batches, in tokens of a public vocabulary."""
+    _small_batches(spark)
     return op2_packing.pack_documents(docs.select("doc_id", "text"), vocabulary=op2_packing.VOCABULARY)
 
 
