@@ -277,6 +277,9 @@ def test_tokenizer_counts(spark, monkeypatch):
     assert {r["doc_id"]: r["n_tokens"] for r in op2_packing.token_counts(docs(spark, rows), vocabulary=path).collect()} == want
     monkeypatch.setattr(op2_packing, "KEPT_WORDS", 3)
     assert {i: counter.count(t or "") for i, t in rows} == want and len(counter) <= 3 and want[902] == 2
+    for size in (1, 7):  # texts parted at every, and at some, spaces between words
+        monkeypatch.setattr(op2_packing, "PART_CHARS", size)
+        assert {i: counter.count(t or "") for i, t in rows} == want
 
 
 def brute_signature(text):
