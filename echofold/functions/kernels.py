@@ -141,6 +141,36 @@ class BandProbe:
                 yield row, own, same[first].sum(1), (hashes[row] == self.hashes[own]).sum(1)
 
 
+def grouped_pairs(hashes: np.ndarray, bands: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_bands: int, min_score: int, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, other row, equal bands, equal bytes) of the pairs that have enough of both, some at a time: each row with the rows from
+    ``starts`` to ``ends``, which share its band ``bands``.  A pair that shares an earlier band is left out, as it is made there.
+    """
+    n = np.maximum(ends - starts, 0)
+    own = hashes.view(np.uint32)
+    empty = (own == 0xFFFFFFFF) @ (1 << np.arange(C.N_BANDS, dtype=np.int64))  # bands without a bit, which most pairs of short texts share
+    before = (np.int64(1) << bands) - 1
+    sums = np.concatenate(([0], np.cumsum(n)))
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(sums, sums[at] + most, "right")) - 1)
+        row = np.repeat(np.arange(at, to), n[at:to])
+        other = np.arange(sums[at], sums[to]) + (starts - sums[:-1])[row]
+        at = to
+        new = empty[row] & empty[other] & before[row] == 0
+        row, other = row[new], other[new]
+        new = (own[row, 0] != own[other, 0]) | (bands[row] == 0)  # copies share the first band
+        row, other = row[new], other[new]
+        if not len(row):
+            continue
+        same = hashes[row] == hashes[other]
+        whole = same.view(np.uint32) == 0x01010101
+        n_bands = whole.sum(1)
+        good = np.flatnonzero((whole.argmax(1) == bands[row]) & (n_bands >= min_bands))
+        score = same[good].view(np.uint32).sum(1, dtype=np.uint32).view(np.uint8).reshape(-1, 4).sum(1)  # four sums of up to 25 at once
+        good, score = good[score >= min_score], score[score >= min_score]
+        yield row[good], other[good], n_bands[good], score
+
+
 def shingle_bits(text: str | None, n_bits: int, n_words: int = 3) -> np.ndarray:
     """The bit of each run of ``n_words`` words, in order; words are parted by ASCII white space, in lower case."""
     w = (text or "").lower().encode("utf-8", "surrogatepass").split()

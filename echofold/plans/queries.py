@@ -22,7 +22,7 @@ VECTOR, SPECTRUM_EDGES = 64, (1, 2, 3, 5, 8, 13, 21, 33)
 FRAME, HOP, WIDTH, IMAGE_HOP = 16, 4, 8, 2
 TOP, VECTOR_LOUD, VECTOR_LEAST = 16, 0.2, 4
 BITS, PERMS, RANKS, BANDS = 128, 20, 64, 5
-DOC_BITS, DOC_PERMS, DOC_BANDS, DOC_MIN_SCORE = C.N_BITS, C.N_PERMUTATIONS, C.N_BANDS, C.MIN_SCORE
+DOC_BITS, DOC_PERMS, DOC_MIN_SCORE = C.N_BITS, C.N_PERMUTATIONS, C.MIN_SCORE
 PASSAGE_BITS, PASSAGE_WIDTH, PASSAGE_HOP = 512, 16, 2
 STREAM_RATE = 40
 #: Bytes of a chunk of the synthetic streams: a seventh of a second.
@@ -143,19 +143,17 @@ def document_signatures(spark, d):
     return _doc_signatures(spark, d).select(F.col("series_id").alias("doc_id"), F.lower(F.hex("minhash")).alias("signature"))
 
 
-def _doc_pairs(spark, d):
-    own = written(_doc_signatures(spark, d)).select(F.col("series_id").alias("entry_id"), F.lit(0).alias("sig_idx"), "minhash")
-    queries = own.select(F.col("entry_id").alias("query_id"), F.col("sig_idx").alias("query_sig"), "minhash")
-    pairs = S.candidates(queries, own, n_bands=DOC_BANDS).filter("query_id < entry_id")
-    return pairs, queries, own
+def _doc_pairs(spark, d, min_score):
+    own = written(_doc_signatures(spark, d)).withColumnRenamed("series_id", "entry_id")
+    return S.self_pairs(own, min_score=min_score)
 
 
 def lsh_candidates(spark, d):
-    return _doc_pairs(spark, d)[0].select("query_id", "entry_id", "n_bands")
+    return _doc_pairs(spark, d, 0).select("query_id", "entry_id", "n_bands")
 
 
 def pair_scores(spark, d):
-    return S.pair_scores(*_doc_pairs(spark, d), min_score=DOC_MIN_SCORE).select("query_id", "entry_id", "n_bands", "score")
+    return _doc_pairs(spark, d, DOC_MIN_SCORE)
 
 
 def database_stats(spark, d):

@@ -76,3 +76,10 @@ def test_plans(spark, sf_dir):
     assert "CartesianProduct" not in plan("identify_passage") and "html" not in plan("identify_passage")
     scores = plan("entry_scores")  # ranking reads them from files
     assert scores.count("ReadSchema: struct<doc_id:bigint,text:string>") == 1 and scores.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["pair_scores", "lsh_candidates"])
+def test_pairs_of_documents_are_not_shuffled(name, spark, sf_dir):
+    """They grow with the square of what shares a band: signatures are shuffled, once, and met by no join."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
